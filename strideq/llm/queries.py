@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from strideq.llm import quality_rules
+from strideq.llm import bpe, lm_score, packing, quality_rules, topk, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_lm_score": lm_score.op3_lm_score,
+    "op4_packing": packing.op4_packing,
+    "op5_bpe": bpe.op5_bpe,
+    "op6_topk": topk.op6_topk,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "op6_topk": topk.OP6_SQL,
 }

@@ -43,15 +43,20 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def words(buffer: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of every word in a byte buffer."""
-    m = table[buffer]
-    edge = np.diff(np.concatenate([[0], (m > 0).view(np.int8), [0]]).astype(np.int8))
+    edge = np.diff(np.concatenate([[0], (table[buffer] > 0).view(np.int8), [0]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return start, end, spans(buffer, table, start, end)
+
+
+def spans(buffer: np.ndarray, table: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of a byte buffer."""
+    m = table[buffer]
     p, inverse = _tables(max(len(m), PART))
     with np.errstate(over="ignore"):
         s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(m.astype(np.uint64) * p[: len(m)])])
         h = (s[end] - s[start]) * inverse[start]
         h = (h ^ (h >> np.uint64(31))) * _C
-    return start, end, h ^ (h >> np.uint64(29))
+    return h ^ (h >> np.uint64(29))
 
 
 def parts(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
