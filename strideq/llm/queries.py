@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strideq.llm import bpe, lm_score, packing, quality_rules, topk, toxicity
+from strideq.llm import bpe, lm_score, packing, quality_mil, quality_rules, topk, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_bpe": bpe.op5_bpe,
     "op6_topk": topk.op6_topk,
+    "op8_quality_mil": quality_mil.op8_quality_mil,
 }
 
 ORACLE_SQL = {
