@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strideq.llm import bpe, lm_score, packing, quality_mil, quality_rules, topk, toxicity
+from strideq.llm import bpe, jaccard_join, language_id, lm_score, packing, quality_mil, quality_rules, topk, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_bpe": bpe.op5_bpe,
     "op6_topk": topk.op6_topk,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_quality_mil": quality_mil.op8_quality_mil,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLE_SQL = {
