@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strideq.llm import bpe, jaccard_join, language_id, lm_score, packing, quality_mil, quality_rules, topk, toxicity
+from strideq.llm import bpe, jaccard_join, language_id, lm_score, packing, quality_mil, quality_rules, substring_dedup, topk, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_topk": topk.op6_topk,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_quality_mil": quality_mil.op8_quality_mil,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_language_id": language_id.op10_language_id,
 }
 

@@ -41,6 +41,11 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of an odd number modulo 2**64, and their inverses."""
+    return _tables(max(n, PART))
+
+
 def words(buffer: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of every word in a byte buffer."""
     edge = np.diff(np.concatenate([[0], (table[buffer] > 0).view(np.int8), [0]]).astype(np.int8))
