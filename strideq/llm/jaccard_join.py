@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideq.llm.common import hint_small, saved, table
+from strideq.llm.common import hint_small, remove, saved, table
 from strideq.llm.graph import components
 from strideq.llm.text_arrays import as_bytes, parts, raw_words, words
 
@@ -155,14 +155,15 @@ def join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: floa
     all_edges = [saved(edges, "edges")[0]]
     large = full.filter(F.col("n_sets") > small)
     deep = placed.join(large, "node").select("node", "sig")
+    # What follows is small beside the sets, so the sets are not shuffled for it.
     needed = all_edges[0].select(F.col("a").alias("sig")).unionByName(all_edges[0].select(F.col("b").alias("sig"))).unionByName(deep.select("sig")).distinct()
-    sets, _ = saved(_sets_of(d, contents.join(needed, "sig"), shingle), "sets")
+    sets = _sets_of(d, contents.join(needed, "sig"), shingle)
 
     level = 1
     while large.limit(1).count() and level < depth:
         level += 1
         last = level == depth
-        nodes = deep.groupBy("sig").agg(F.collect_list("node").alias("nodes"))  # a set's nodes, a few
+        nodes, _ = saved(deep.groupBy("sig").agg(F.collect_list("node").alias("nodes")), "nodes")  # a set's nodes, a few
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -174,7 +175,7 @@ def join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: floa
                     found.append(kids.view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("sig").take(pa.array(np.concatenate(at))), pa.array(np.concatenate(found))], ["sig", "node"])
 
-        placed, full = _buckets(sets.select("sig", "set").join(nodes, "sig").mapInArrow(split, "sig binary, node bigint"), small)
+        placed, full = _buckets(sets.select("sig", "set").join(hint_small(nodes, 200_000), "sig").mapInArrow(split, "sig binary, node bigint"), small)
         ready = full if last else full.filter(F.col("n_sets") <= small)
         all_edges.append(saved(_candidates(placed.join(ready, "node"), contents, small, threshold), "edges")[0])
         large = full.filter(F.col("n_sets") > small)
@@ -278,8 +279,13 @@ def _sets_of(d: DataFrame, contents: DataFrame, shingle: int) -> DataFrame:
                         raw.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], ["sig", "n", "set"])
 
-    # Repeated rows of one id stand for one content more than once.
-    return met.mapInArrow(run, "sig binary, n bigint, set binary").dropDuplicates(["sig"])
+    sets, path = saved(met.mapInArrow(run, "sig binary, n bigint, set binary"), "sets")
+    if sets.count() == sets.select("sig").distinct().count():
+        return sets
+    # Rows repeated in full stand for one content more than once.
+    once, _ = saved(sets.dropDuplicates(["sig"]), "sets")
+    remove(d.sparkSession, path)
+    return once
 
 
 def _verify(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -292,7 +298,7 @@ def _verify(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     m = groups.join(shape.select("grp", blocks), "grp").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     m = m.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("grp", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "sig")
-    m = m.join(sets.select("sig", "set"), "sig")
+    m = sets.select("sig", "set").join(hint_small(saved(m, "blocks")[0], 200_000), "sig")
     tasks = m.groupBy("grp", "i", "j").agg(F.collect_list(F.struct("own", "sig", "set")).alias("sets"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
