@@ -1,3 +1,7 @@
 """strideq: temporal and sequential pattern queries over ordered event tables, as Spark plans."""
 
+from strideq.engine import Aggregate, Engine, Grouped, Result
+from strideq.sources.corpus import Corpus, CorpusSpec
+
+__all__ = ["Aggregate", "Corpus", "CorpusSpec", "Engine", "Grouped", "Result"]
 __version__ = "0.1.0"
