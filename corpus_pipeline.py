@@ -26,15 +26,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of the n-gram Jaccard join: the least id; rows without an
-    id stay if no row with one is in their class."""
-    marked = docs.withColumn("_doc_key", F.xxhash64("text"))
+    """One document of each class of the n-gram Jaccard join: the least id. Rows without an
+    id stay if no row with one is in their class; rows repeated in full are one document."""
     classes = jaccard_join.join(docs.select("doc_id", "text"), keep=("text_key",))
     # Only rows that go are carried back, so texts meet no more than those.
-    gone = classes.filter(F.col("class_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("class_id")))).select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    gone, _ = saved(gone, "gone")
-    kept = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_doc_key").eqNullSafe(F.col("_gone_key"))), "left_anti")
-    return kept.drop("_doc_key")
+    goes = F.col("class_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("class_id")))
+    gone, _ = saved(classes.filter(goes).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id_"), F.xxhash64("text").alias("key_"))
+    kept = marked.join(gone, F.col("id_").eqNullSafe(F.col("gone_id")) & (F.col("key_") == F.col("gone_key")), "left_anti")
+    return kept.select("row.*")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
