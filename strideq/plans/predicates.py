@@ -147,7 +147,18 @@ class Predicates:
 
     def _stemmed(self, terms: list[str], what: str) -> Column:
         stem = T.stem_words(self.spec.language)
-        return self._matching(self.stems, [[stem(w) for w in self.words(t, what)] for t in terms], what)
+        wanted = [[stem(w) for w in self.words(t, what)] for t in terms]
+        if any(len(t) > 1 for t in wanted):
+            return self._matching(self.stems, wanted, what)
+        # A word and its stem begin alike, so few words need stemming at all.
+        letters = sorted({t[0][0] for t in wanted})
+
+        def likely(field: str) -> Column:
+            if self.corpus.has(f"{field}_stems"):
+                return self.stems(field)
+            return T.stems(F.array_distinct(F.filter(self.tokens(field), lambda w: F.substring(w, 1, 1).isin(letters))))
+
+        return self._matching(likely, wanted, what)
 
     def _within(self, terms: list[str], what: str) -> Column:
         fields = self.corpus.text_columns(what)
