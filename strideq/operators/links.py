@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from strideq.errors import QueryError
 from strideq.operators.frames import BOUND, Groups, Rows, Use, agree, bucket, differ, positions
 
-#: Buckets of the as-of strategy are this many windows wide.
-STRETCH = 64
+#: Buckets of the as-of strategy are this many windows wide: narrower ones give more
+#: tasks, wider ones fewer right rows in two buckets (one in STRETCH).
+STRETCH = 8
 
 
 def conditions(groups: Groups, rows: Rows, excluded: bool = False) -> tuple[list[Use], list[tuple]]:

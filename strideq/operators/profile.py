@@ -3,8 +3,6 @@ around an event."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -15,24 +13,16 @@ from strideq.sources.corpus import Corpus
 def profile(df: DataFrame, top: int = 10, distinct_up_to: int = 1000) -> DataFrame:
     """Per field: type, coverage, distinct values (null beyond ``distinct_up_to``), and the
     ``top`` most frequent values with their counts."""
-    parts = []
     n = df.count()
-    for f in df.schema.fields:
+    there = df.agg(*[F.sum(F.col(f"`{f.name}`").isNotNull().cast("long")).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]).first()
+    rows = []
+    for i, f in enumerate(df.schema.fields):
         own = df.select(F.explode(f"`{f.name}`").alias("v")) if isinstance(f.dataType, ArrayType) else df.select(F.col(f"`{f.name}`").alias("v"))
         counts = own.filter("v is not null").select(F.col("v").cast("string").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        best = counts.orderBy(F.desc("n"), "v").limit(top).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "v"))).alias("top"))
-        many = counts.agg(F.count(F.lit(1)).alias("d"))
-        there = df.agg(F.sum(F.col(f"`{f.name}`").isNotNull().cast("long")).alias("there"))
-        parts.append(
-            there.crossJoin(many).crossJoin(best).select(  # one row each
-                F.lit(f.name).alias("field"),
-                F.lit(f.dataType.simpleString()).alias("type"),
-                F.round(F.col("there") / F.lit(max(n, 1)), 6).alias("coverage"),
-                F.when(F.col("d") <= distinct_up_to, F.col("d")).alias("n_distinct"),
-                F.array_join(F.transform("top", lambda x: F.concat_ws("=", x["v"], (-x["n"]).cast("string"))), ",").alias("top"),
-            )
-        )
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        best = counts.orderBy(F.desc("n"), "v").limit(top).collect()
+        many = counts.limit(distinct_up_to + 1).count()
+        rows.append((f.name, f.dataType.simpleString(), round((there[i] or 0) / max(n, 1), 6), many if many <= distinct_up_to else None, ",".join(f"{r['v']}={r['n']}" for r in best)))
+    return df.sparkSession.createDataFrame(rows, "field string, type string, coverage double, n_distinct bigint, top string")
 
 
 def context(corpus: Corpus, position: int, before: int = 5, after: int = 5, same: str | None = None, minutes: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +22,13 @@ def scout(corpus: Corpus, words: str, k: int, k1: float = 1.2, b: float = 0.75)
     own = F.concat(*[T.tokens(F.col(f"`{c}`"), corpus.spec.tokenizer) for c in fields])
     df = corpus.df.select("position", F.col(f"`{corpus.spec.id}`").alias("id"), own.alias("w"))
     df = df.select("position", "id", F.size("w").alias("n"), *[_count(t).alias(f"f{i}") for i, t in enumerate(terms)])
-    stats = df.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms))])
-    met = df.filter(" OR ".join(f"f{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
+    stats = df.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms))]).first()
+    met = df.filter(" OR ".join(f"f{i} > 0" for i in range(len(terms))))
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(1 + (F.col("docs") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
-        score = score + idf * F.col(f"f{i}") * (k1 + 1) / (F.col(f"f{i}") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+        seen = stats[f"d{i}"] or 0
+        idf = math.log(1 + (stats["docs"] - seen + 0.5) / (seen + 0.5))
+        score = score + idf * F.col(f"f{i}") * (k1 + 1) / (F.col(f"f{i}") + k1 * (1 - b + b * F.col("n") / (stats["mean"] or 1.0)))
     return met.select("position", "id", score.alias("score")).orderBy(F.desc("score"), "position").limit(k)
 
 

@@ -314,4 +314,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT p AS p0 FROM v, q WHERE list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE)) >= 0.2""",
     "similar_rank": """WITH v AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS p FROM embeddings), q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
         SELECT p AS position, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE)), 6) AS score FROM v, q ORDER BY 2 DESC, 1 LIMIT 20""",
+    "profile": """WITH x AS (SELECT 'event_type' AS field, 'string' AS type, event_type::VARCHAR AS v FROM events UNION ALL SELECT 'user_id', 'bigint', user_id::VARCHAR FROM events UNION ALL SELECT 'value', 'double', value::VARCHAR FROM events),
+        c AS (SELECT field, v, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, v) AS k FROM x WHERE v IS NOT NULL GROUP BY field, v)
+        SELECT x.field, any_value(x.type) AS type, round(count(v)::DOUBLE / count(*), 6) AS coverage, CASE WHEN any_value(d.n) <= 1000 THEN any_value(d.n) END::BIGINT AS n_distinct, any_value(d.top) AS top
+        FROM x JOIN (SELECT field, count(*) AS n, string_agg(v || '=' || n, ',' ORDER BY k) FILTER (WHERE k <= 10) AS top FROM c GROUP BY field) d ON x.field = d.field GROUP BY x.field""",
+    "scout": f"""WITH {_DOC}, w AS (SELECT p, {_TOK} AS w FROM d),
+        s AS (SELECT p, len(w) AS n, len(list_filter(w, lambda x: x = 'licensed')) AS f0, len(list_filter(w, lambda x: x = 'apache')) AS f1 FROM w),
+        st AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (WHERE f0 > 0) AS d0, count(*) FILTER (WHERE f1 > 0) AS d1 FROM s),
+        r AS (SELECT p, ln(1 + (docs - d0 + 0.5) / (d0 + 0.5)) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * n / mean)) AS score FROM s, st WHERE f0 > 0 OR f1 > 0)
+        SELECT p AS position, round(score, 6) AS score FROM r ORDER BY r.score DESC, p LIMIT 10""",
 }
