@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideq.llm.common import saved, table
+from strideq.llm.common import remove, saved, table
 from strideq.llm.text_arrays import powers
 
 LONG = 24
@@ -112,19 +112,21 @@ def dedup(docs: DataFrame, run: int = 2, words: int = 20, id_col: str = "doc_id"
                 )
 
     light = d.select("id_", "key_", "text_")
-    found, _ = saved(light.mapInArrow(spans, f"hash bigint, id_ {kind}, key_ bigint, first int, last int"), "spans")
+    found, found_at = saved(light.mapInArrow(spans, f"hash bigint, id_ {kind}, key_ bigint, first int, last int"), "spans")
     # First which hashes occur twice; only their runs carry places.
-    twice, _ = saved(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "twice")
-    again, _ = saved(found.join(twice, "hash"), "again")
+    twice, twice_at = saved(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "twice")
+    again, again_at = saved(found.join(twice, "hash"), "again")
     place = F.struct(F.col("id_").isNull().alias("o"), "id_", "key_", "first")
-    kept, _ = saved(again.groupBy("hash").agg(F.min(place).alias("p")).select("hash", F.col("p.id_").alias("kept_id"), F.col("p.key_").alias("kept_key"), F.col("p.first").alias("kept_first")), "kept")
+    kept, kept_at = saved(again.groupBy("hash").agg(F.min(place).alias("p")).select("hash", F.col("p.id_").alias("kept_id"), F.col("p.key_").alias("kept_key"), F.col("p.first").alias("kept_first")), "kept")
     is_first = F.col("id_").eqNullSafe(F.col("kept_id")) & (F.col("key_") == F.col("kept_key")) & (F.col("first") == F.col("kept_first"))
     later = again.join(kept, "hash").filter(~is_first).select("id_", "key_", "first", "last")
     # A text's covered runs, at most two for each of its sentences.
     cut, _ = saved(later.groupBy("id_", "key_").agg(F.collect_set(F.struct("first", "last")).alias("runs_")).withColumnsRenamed({"id_": "cut_id", "key_": "cut_key"}), "cut")
+    for path in (found_at, twice_at, again_at, kept_at):
+        remove(d.sparkSession, path)
     met = d.select("row", "id_", "key_").join(cut, (F.col("key_") == F.col("cut_key")) & F.col("id_").eqNullSafe(F.col("cut_id")), "left").select("row", "runs_")
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column("row")
             texts = row.field(row.type.get_field_index(text_col)).to_pylist()
@@ -134,7 +136,7 @@ def dedup(docs: DataFrame, run: int = 2, words: int = 20, id_col: str = "doc_id"
             spans_ = pa.array([[{"start": a, "end": b} for a, b in x[1]] for x in out], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([row, pa.array([x[0] for x in out], pa.string()), spans_], ["row", "clean_text", "removed"])
 
-    return met.mapInArrow(remove, f"row {d.schema['row'].dataType.simpleString()}, clean_text string, removed array<struct<start:int,end:int>>")
+    return met.mapInArrow(cut_out, f"row {d.schema['row'].dataType.simpleString()}, clean_text string, removed array<struct<start:int,end:int>>")
 
 
 def without(text: str, covered: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
