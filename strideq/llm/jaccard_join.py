@@ -186,6 +186,9 @@ def join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: floa
         near = near.unionByName(e)
     groups, _ = saved(components(near).select(F.col("node").alias("sig"), F.col("root").alias("grp")), "groups")
     verified, _ = saved(_verify(groups, sets, threshold), "verified")
+    for df in (sets, near, groups, placed, full):
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(spark, path)
     links = verified.groupBy("sig").agg(F.sum("links").cast("long").alias("n_links"))
     tied = components(verified.filter("other is not null").select(F.col("sig").alias("a"), F.col("other").alias("b")))
     tied, _ = saved(tied.join(contents.select(F.col("sig").alias("node"), "doc_id"), "node"), "tied")
