@@ -86,4 +86,4 @@ def positions(m: Column) -> Column:
 def bucket(x: Column, width: int) -> Column:
     """Whole-number division that rounds down."""
     w = F.lit(width).cast("long")
-    return ((x - F.pmod(x, w)) / w).cast("long")
+    return F.call_function("div", x - F.pmod(x, w), w)

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from strideq.errors import CorpusError, QueryError
 from strideq.functions.times import micros
-from strideq.sources.storage import written
+from strideq.sources.storage import remove, written, written_at
 
 
 @dataclass(frozen=True)
@@ -38,15 +38,18 @@ def numbered(df: DataFrame, order: list[Column] | None = None, name: str = "posi
     """``df`` with a dense position from 0, by ``order`` (or as the files are read).
 
     Rows are range-partitioned and sorted, written with their partition and place in it,
-    and numbered by the counts of the partitions before: no task sees all rows.
+    and numbered by the counts of the partitions before: no task sees all rows. The result
+    is written too, so queries read positions and never assign them.
     """
     ordered = df.orderBy(*order) if order else df
-    placed = written(ordered.withColumn("part_", F.spark_partition_id()).withColumn("nth_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "placed")
+    placed, place = written_at(ordered.withColumn("part_", F.spark_partition_id()).withColumn("nth_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "placed")
     counts = placed.groupBy("part_").agg(F.count(F.lit(1)).alias("n"))  # a row per partition
     before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part_", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base_"))
     out = placed.join(F.broadcast(base), "part_").withColumn(name, (F.col("base_") + F.col("nth_")).cast("long"))
-    return out.drop("part_", "nth_", "base_")
+    out = written(out.drop("part_", "nth_", "base_"), "numbered")
+    remove(df.sparkSession, place)
+    return out
 
 
 class Corpus:

@@ -21,19 +21,30 @@ def folder(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again; the files go when
-    the driver ends."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared folder and read again, and where."""
     spark = df.sparkSession
     path = f"{folder(spark)}/strideq/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same, with files that go when the driver ends."""
+    out, path = written_at(df, name)
+    spark = df.sparkSession
 
     def clear() -> None:
         try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            remove(spark, path)
         except Exception:  # the session is gone; the folder's owner clears it
             pass
 
     atexit.register(clear)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
