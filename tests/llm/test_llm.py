@@ -156,7 +156,7 @@ def test_packing_is_best_fit_decreasing():
         fill = collections.Counter()
         for size, _, k, each, first, at in plan:
             for x in range(k):
-                assert fill[first + x // each] == at + x % each * size or True
+                assert fill[first + x // each] == at + x % each * size
                 fill[first + x // each] += size
         assert sorted(2048 - v for v in fill.values()) == sorted(left)
 
