@@ -150,17 +150,17 @@ def join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: floa
 
     # Level one: buckets of at least two contents.
     placed = rows.filter("sig is not null").select("sig", F.explode("paths").alias("node")).distinct()
-    placed, full = _buckets(placed, small)
-    edges = _candidates(placed.join(full.filter(F.col("n_sets") <= small), "node"), contents, small, threshold)
+    placed, spent = _buckets(placed)
+    edges = _candidates(placed.filter(F.col("n_sets") <= small), contents, threshold)
     all_edges = [saved(edges, "edges")[0]]
-    large = full.filter(F.col("n_sets") > small)
-    deep = placed.join(large, "node").select("node", "sig")
+    deep = placed.filter(F.col("n_sets") > small).select("node", "sig")
     # What follows is small beside the sets, so the sets are not shuffled for it.
     needed = all_edges[0].select(F.col("a").alias("sig")).unionByName(all_edges[0].select(F.col("b").alias("sig"))).unionByName(deep.select("sig")).distinct()
-    sets = _sets_of(d, contents.join(needed, "sig"), shingle)
+    few, _ = saved(contents.join(needed.hint("merge"), "sig"), "few")
+    sets = _sets_of(d, few, shingle)
 
     level = 1
-    while large.limit(1).count() and level < depth:
+    while deep.limit(1).count() and level < depth:
         level += 1
         last = level == depth
         nodes, _ = saved(deep.groupBy("sig").agg(F.collect_list("node").alias("nodes")), "nodes")  # a set's nodes, a few
@@ -175,20 +175,21 @@ def join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: floa
                     found.append(kids.view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("sig").take(pa.array(np.concatenate(at))), pa.array(np.concatenate(found))], ["sig", "node"])
 
-        placed, full = _buckets(sets.select("sig", "set").join(hint_small(nodes, 200_000), "sig").mapInArrow(split, "sig binary, node bigint"), small)
-        ready = full if last else full.filter(F.col("n_sets") <= small)
-        all_edges.append(saved(_candidates(placed.join(ready, "node"), contents, small, threshold), "edges")[0])
-        large = full.filter(F.col("n_sets") > small)
-        deep = placed.join(large, "node").select("node", "sig")
+        placed, more = _buckets(sets.select("sig", "set").join(hint_small(nodes, 200_000), "sig").mapInArrow(split, "sig binary, node bigint"))
+        spent += more
+        ready = placed if last else placed.filter(F.col("n_sets") <= small)
+        all_edges.append(saved(_candidates(ready, few, threshold), "edges")[0])
+        deep = placed.filter(F.col("n_sets") > small).select("node", "sig")
 
     near = all_edges[0]
     for e in all_edges[1:]:
         near = near.unionByName(e)
     groups, _ = saved(components(near).select(F.col("node").alias("sig"), F.col("root").alias("grp")), "groups")
     verified, _ = saved(_verify(groups, sets, threshold), "verified")
-    for df in (sets, near, groups, placed, full):
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            remove(spark, path)
+    for df in (sets, near, groups, few):
+        spent += sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
+    for path in spent:
+        remove(spark, path)
     links = verified.groupBy("sig").agg(F.sum("links").cast("long").alias("n_links"))
     tied = components(verified.filter("other is not null").select(F.col("sig").alias("a"), F.col("other").alias("b")))
     tied, _ = saved(tied.join(contents.select(F.col("sig").alias("node"), "doc_id"), "node"), "tied")
@@ -207,14 +208,17 @@ def join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: floa
     return paired.unionByName(alone)
 
 
-def _buckets(placed: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Set and node rows, written; and the nodes with two sets or more with their number."""
-    placed, _ = saved(placed, "placed")
-    full, _ = saved(placed.groupBy("node").agg(F.count(F.lit(1)).alias("n_sets")).filter("n_sets > 1"), "full")
-    return placed, full
+def _buckets(placed: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Set and node rows of nodes with two sets or more, with their number ``n_sets``; and
+    the folders written. Joined in the same way at every size."""
+    placed, at = saved(placed, "placed")
+    full = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n_sets")).filter("n_sets > 1")
+    met, met_at = saved(placed.join(full.hint("merge"), "node"), "met")
+    remove(placed.sparkSession, at)
+    return met, [met_at]
 
 
-def _candidates(members: DataFrame, contents: DataFrame, small: int, threshold: float) -> DataFrame:
+def _candidates(members: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
     """Edges between sets of a bucket whose sketches allow similarity: a spanning forest
     per pair of blocks. A bucket of up to BLOCK sets is one block."""
     least = max(0.0, threshold - 0.25)
@@ -222,7 +226,7 @@ def _candidates(members: DataFrame, contents: DataFrame, small: int, threshold:
     m = members.select("node", "sig", blocks.alias("k")).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("k")).cast("int"))
     m = m.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     m = m.select("node", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "sig")
-    m = m.join(contents.select("sig", "sketch"), "sig")
+    m = m.join(contents.select("sig", "sketch").hint("merge"), "sig")
     groups = m.groupBy("node", "i", "j").agg(F.collect_list(F.struct("sig", "sketch")).alias("sets"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
