@@ -115,16 +115,16 @@ def dedup(docs: DataFrame, run: int = 2, words: int = 20, id_col: str = "doc_id"
     found, found_at = saved(light.mapInArrow(spans, f"hash bigint, id_ {kind}, key_ bigint, first int, last int"), "spans")
     # First which hashes occur twice; only their runs carry places.
     twice, twice_at = saved(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "twice")
-    again, again_at = saved(found.join(twice, "hash"), "again")
+    again, again_at = saved(found.join(twice.hint("merge"), "hash"), "again")
     place = F.struct(F.col("id_").isNull().alias("o"), "id_", "key_", "first")
     kept, kept_at = saved(again.groupBy("hash").agg(F.min(place).alias("p")).select("hash", F.col("p.id_").alias("kept_id"), F.col("p.key_").alias("kept_key"), F.col("p.first").alias("kept_first")), "kept")
     is_first = F.col("id_").eqNullSafe(F.col("kept_id")) & (F.col("key_") == F.col("kept_key")) & (F.col("first") == F.col("kept_first"))
-    later = again.join(kept, "hash").filter(~is_first).select("id_", "key_", "first", "last")
+    later = again.join(kept.hint("merge"), "hash").filter(~is_first).select("id_", "key_", "first", "last")
     # A text's covered runs, at most two for each of its sentences.
     cut, _ = saved(later.groupBy("id_", "key_").agg(F.collect_set(F.struct("first", "last")).alias("runs_")).withColumnsRenamed({"id_": "cut_id", "key_": "cut_key"}), "cut")
     for path in (found_at, twice_at, again_at, kept_at):
         remove(d.sparkSession, path)
-    met = d.select("row", "id_", "key_").join(cut, (F.col("key_") == F.col("cut_key")) & F.col("id_").eqNullSafe(F.col("cut_id")), "left").select("row", "runs_")
+    met = d.select("row", "id_", "key_").join(cut.hint("merge"), (F.col("key_") == F.col("cut_key")) & F.col("id_").eqNullSafe(F.col("cut_id")), "left").select("row", "runs_")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
