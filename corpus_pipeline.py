@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     goes = F.col("class_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") != F.col("class_id")))
     gone, _ = saved(classes.filter(goes).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone")
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id_"), F.xxhash64("text").alias("key_"))
-    kept = marked.join(gone, F.col("id_").eqNullSafe(F.col("gone_id")) & (F.col("key_") == F.col("gone_key")), "left_anti")
+    kept = marked.join(gone.hint("merge"), F.col("id_").eqNullSafe(F.col("gone_id")) & (F.col("key_") == F.col("gone_key")), "left_anti")
     return kept.select("row.*")
 
 
