@@ -64,6 +64,18 @@ def fold(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def first_by_hash(df: DataFrame, most: int, n: int, of: list[str]) -> DataFrame:
+    """The first ``most`` of ``n`` rows by a hash of some columns.
+
+    Rows beyond about twice the share that is wanted are left out where they are read, so
+    that tasks together send a few times ``most`` rows to the driver, however many they are.
+    """
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in of])
+    if n > 4 * most:
+        df = df.filter(h.bitwiseAND(F.lit((1 << 52) - 1)) < int((2 * most + 50) / n * (1 << 52)))
+    return df.orderBy(h, *[F.col(f"`{c}`") for c in of]).limit(most)
+
+
 def hint_small(df: DataFrame, most: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows; else as it is.
 

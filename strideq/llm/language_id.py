@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideq.llm.common import hint_small, saved, table
+from strideq.llm.common import first_by_hash, hint_small, saved, table
 from strideq.llm.text_arrays import as_bytes, parts
 
 SLOTS = 1 << 16
@@ -104,13 +104,15 @@ def posterior(log_p: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, language_col: str, most: int = 400, languages: int = 50) -> Trigrams:
     """Trigram models of the ``languages`` most frequent declared languages, from at most
-    ``most`` rows of each, the first by a hash of the text, with whole texts."""
-    d = docs.select(primary(F.col(language_col)).alias("y"), "text").filter("y <> '' and text is not null")
-    names = [r["y"] for r in d.groupBy("y").count().orderBy(F.desc("count"), "y").limit(languages).collect() if r["y"] != UNDETERMINED]
+    ``most`` rows of each, the first by a hash of id and text, with whole texts."""
+    of = [c for c in ("doc_id", "text") if c in docs.columns]
+    d = docs.select(primary(F.col(language_col)).alias("y"), *of).filter("y <> '' and text is not null")
+    counts = d.groupBy("y").count().orderBy(F.desc("count"), "y").limit(languages).collect()
     picked: dict[str, list[bytes]] = {}
-    for name in names:
-        rows = d.filter(F.col("y") == name).orderBy(F.xxhash64("text"), "text").limit(most).collect()
-        picked[name] = [r["text"].encode("utf-8", "surrogatepass") for r in rows]
+    for r in counts:
+        if r["y"] != UNDETERMINED:
+            rows = first_by_hash(d.filter(F.col("y") == r["y"]), most, r["count"], of).collect()
+            picked[r["y"]] = [x["text"].encode("utf-8", "surrogatepass") for x in rows]
     return Trigrams(picked)
 
 

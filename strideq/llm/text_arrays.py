@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideq.llm.common import first_by_hash
+
 PART = 1 << 20
 _P = 0x5851F42D4C957F2D
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -107,7 +109,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
     totals = {r["y"]: r["n"] for r in own.filter(F.col("y").isin([0, 1])).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = None
     for y, n in most.items():
-        part = own.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        part = first_by_hash(own.filter(F.col("y") == y), n, totals.get(y, 0), ["doc_id"])
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y").collect()
     rows.sort(key=lambda r: (r["doc_id"]))
