@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strideq.errors import ConfigError
+
 _own: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; its own where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what
+    ``setCheckpointDir`` was given. Without either, a local session gets a folder of its
+    own; any other is refused, since its machines would not see each other's files."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ConfigError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
-        _own.append(tempfile.mkdtemp(prefix="strideq-corpus-"))
+        _own.append(tempfile.mkdtemp(prefix="strideq-"))
     return f"file://{_own[0]}"
 
 
@@ -27,24 +34,29 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def remove_late(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver ends; until then a lazy result may read it."""
+
+    def clear() -> None:
+        try:
+            remove(spark, path)
+        except Exception:  # the session is gone; the folder's owner clears it
+            pass
+
+    atexit.register(clear)
+
+
 def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written as Parquet in the shared folder and read again, and where."""
+    """``df`` written as Parquet in the shared folder and read again, and where. This cuts
+    lineage: a lost executor costs no more than the stage that reads the files."""
     spark = df.sparkSession
     path = f"{folder(spark)}/strideq/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same, with files that go when the driver ends."""
     out, path = written_at(df, name)
-    spark = df.sparkSession
-
-    def clear() -> None:
-        try:
-            remove(spark, path)
-        except Exception:  # the session is gone; the folder's owner clears it
-            pass
-
-    atexit.register(clear)
+    remove_late(df.sparkSession, path)
     return out
