@@ -144,6 +144,27 @@ class Engine:
         bound = [c for c in df.columns if c.startswith(BOUND)]
         return Result(ids, p.names, [{c[len(BOUND) :]: r[c] for c in bound} for r in rows] if bound else [])
 
+    def page(self, query: str | Query, offset: int = 0, limit: int = 50, order: str = "position", reverse: bool = False, **options) -> list[list[Any]]:
+        """Groups ``offset`` to ``offset + limit`` in a display order: the query's own, or by
+        ``size``, largest first and equal ones in the query's order; ``reverse`` turns either
+        around. What is fetched is the page."""
+        if order not in ("position", "size"):
+            raise ConfigError(f"unknown display order {order!r}: position or size")
+        p = self.planned(query, **options)
+        if p.kind != "groups":
+            raise QueryError("only groups have pages")
+        df = p.df
+        if p.is_ordered:
+            df = df.withColumn("at_", F.monotonically_increasing_id())  # a sorted frame
+            own = [F.col("at_")]
+        else:
+            own = [F.col("o"), F.transform("m", lambda x: x["p"])]
+        size = [F.desc(F.size("m"))] if order == "size" else []
+        down = [F.asc(F.size("m"))] if order == "size" else []
+        keys = [*down, *[c.desc() for c in own]] if reverse else [*size, *own]
+        rows = df.orderBy(*keys).offset(max(0, offset)).limit(max(0, limit)).select(F.transform("m", lambda x: x["id"]).alias("ids")).collect()
+        return [list(r["ids"]) for r in rows]
+
     def with_spec(self, **changes) -> Engine:
         """The same corpus with other settings."""
         spec = replace(self.corpus.spec, **changes)

@@ -94,3 +94,6 @@ def english(word: str) -> str:
     elif w.endswith("ll") and len(w) - 1 >= r2:
         w = w[:-1]
     return w.replace("Y", "y")
+
+
+STEMMERS = {"english": english, "en": english}

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strideq.errors import ConfigError
-from strideq.functions.stemming import english
+from strideq.functions.stemming import STEMMERS
 
 #: Token shapes; the first that fits wins.
 URL_SHAPE = r"https?://\S+"
@@ -25,19 +25,27 @@ AFTER_QUESTION_MARK = "[\\s)\\]}\"'»”’.,;:!?]"
 
 def _shape(tokenizer: str) -> str:
     if tokenizer not in SHAPES:
-        raise ConfigError(f"unknown tokenizer {tokenizer!r}; there are {', '.join(SHAPES)}")
+        raise ConfigError(f"unknown tokenizer {tokenizer!r}; there are {', '.join(SHAPES)}, or give a function from a text to its tokens")
     return SHAPES[tokenizer]
 
 
-def tokens(text: Column, tokenizer: str = "unicode") -> Column:
-    """Lower-case tokens of a text; none of a null."""
+def tokens(text: Column, tokenizer: str | Callable[[str], list[str]] = "unicode") -> Column:
+    """Lower-case tokens of a text; none of a null. A tokenizer of one's own is a function
+    from a text to a list, and runs in Arrow batches."""
+    if callable(tokenizer):
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield batch.map(lambda t: list(tokenizer(t)) if t is not None else [])
+
+        return F.pandas_udf(run, "array<string>")(text)
     found = F.regexp_extract_all(F.lower(text), F.lit(f"(?U){_shape(tokenizer)}"), F.lit(0))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def tokens_of(text: str, tokenizer: str = "unicode") -> list[str]:
+def tokens_of(text: str, tokenizer: str | Callable[[str], list[str]] = "unicode") -> list[str]:
     """The same on the driver, for a query's own words."""
-    return re.findall(_shape(tokenizer), text.lower())
+    return list(tokenizer(text)) if callable(tokenizer) else re.findall(_shape(tokenizer), text.lower())
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -46,21 +54,23 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def stem_words(language: str):
-    """A stemmer by language; only English is there, and no other stands in for it."""
-    if language.lower() not in ("english", "en"):
-        raise ConfigError(f"no stemmer for {language!r}: use text_match token or substring")
-    return english
+def stem_words(language: str) -> Callable[[str], str]:
+    """A stemmer by language; where there is none, no other stands in for it."""
+    found = STEMMERS.get(language.lower())
+    if found is None:
+        raise ConfigError(f"no stemmer for {language!r}; there are {', '.join(sorted(STEMMERS))}: use text_match token or substring")
+    return found
 
 
-def _stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.map(lambda ws: [english(w) for w in ws] if ws is not None else [])
+def stems(words: Column, language: str = "english") -> Column:
+    """Stems of a token array, in Arrow batches."""
+    stem = stem_words(language)
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda ws: [stem(w) for w in ws] if ws is not None else [])
 
-def stems(words: Column) -> Column:
-    """Stems of a token array, in Arrow batches."""
-    return F.pandas_udf(_stems, "array<string>")(words)
+    return F.pandas_udf(run, "array<string>")(words)
 
 
 def is_question(text: Column) -> Column:

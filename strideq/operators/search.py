@@ -36,11 +36,15 @@ def _count(term: str) -> Column:
     return F.size(F.filter("w", lambda x: x == F.lit(term)))
 
 
-def similar(corpus: Corpus, text: str, k: int) -> DataFrame:
-    """The ``k`` events most similar to a text, ties in load order: position, id, score."""
+def similar(corpus: Corpus, text: str, k: int, threshold: float | None = None) -> DataFrame:
+    """The ``k`` events most similar to a text, at least ``threshold`` if that is given, ties
+    in load order: position, id, score; and ``total``, how many there are without ``k``."""
     spec = corpus.spec
     if not corpus.has(spec.embedding) or spec.embedder is None:
         raise QueryError("similarity needs an embedding column and an embedder")
     score = cosine(F.col(f"`{spec.embedding}`"), [float(x) for x in spec.embedder([text])[0]])
-    df = corpus.df.select("position", F.col(f"`{spec.id}`").alias("id"), score.alias("score"))
-    return df.filter("score is not null").orderBy(F.desc("score"), "position").limit(k)
+    df = corpus.df.select("position", F.col(f"`{spec.id}`").alias("id"), score.alias("score")).filter("score is not null")
+    if threshold is not None:
+        df = df.filter(F.col("score") >= threshold)
+    total = df.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return df.orderBy(F.desc("score"), "position").limit(k).join(F.broadcast(total))

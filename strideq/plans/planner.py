@@ -17,7 +17,7 @@ from strideq.operators.frames import BOUND, Groups, Rows, Use, agree, differ, si
 from strideq.operators.runs import runs
 from strideq.plans.ir import Between, Link, Moment, Query, Run, Span, Stages
 from strideq.plans.passes import DEFAULT_WINDOW, has_run, prepared, sequence
-from strideq.plans.predicates import Predicates
+from strideq.plans.predicates import MENTIONED, Predicates
 from strideq.sources.corpus import Corpus
 
 AXIS = {"position": "p", "time": "t"}
@@ -83,13 +83,13 @@ class Planner:
         df = c.df.filter(p.column(e))
         uses, value = p.variables(e), {}
         for var, name, _ in uses:
-            if name == "mentions" and not c.is_list("mentions"):
+            if name == MENTIONED:
                 value[name] = p.mentions()
             elif not c.has(name):
                 raise QueryError(f"${var} is bound to {name!r}, which no event has")
             else:
                 value[name] = F.col(f"`{name}`")
-        is_list = {name: name == "mentions" and not c.has(name) or c.is_list(name) for name in value}
+        is_list = {name: name == MENTIONED or c.is_list(name) for name in value}
         bound = {v: n for v, n, neg in reversed(uses) if not neg}
         equal, unequal = [], []
         for v, n, neg in uses:

@@ -12,7 +12,11 @@ from strideq.errors import QueryError
 from strideq.functions import text as T
 from strideq.functions.vectors import cosine
 from strideq.plans.ir import And, Anything, Leaf, Link, Not, Or, Run, Var
-from strideq.sources.corpus import Corpus
+from strideq.sources.corpus import Corpus, is_annotation
+
+
+#: Stands for the list of names that an event's texts address.
+MENTIONED = "mentioned_"
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -40,7 +44,7 @@ class Predicates:
                     raise QueryError(f"${value.name} under NOT binds nothing; bind it outside")
                 if under_or and value.negated:
                     raise QueryError(f"!${value.name} stands under AND only")
-                return [(value.name, self.corpus.field(e.args[0]) if e.kind == "field" else "mentions", value.negated)]
+                return [(value.name, self.corpus.field(e.args[0]) if e.kind == "field" else MENTIONED, value.negated)]
         return []
 
     # -- booleans -------------------------------------------------------------
@@ -99,13 +103,25 @@ class Predicates:
             return list(own["terms"]), own.get("match") or self.spec.text_match
         return list(own), self.spec.text_match
 
+    def index(self, field: str, what: str) -> Column | None:
+        """The column of a field's tokens or stems, if ingest wrote it for this tokenizer and
+        language (its stamp says so); a column that only has the name is none."""
+        name, spec = f"{field}_{what}", self.spec
+        if not self.corpus.is_list(name) or callable(spec.tokenizer):
+            return None
+        stamp = self.corpus.schema[name].metadata
+        fits = stamp.get(what + "_of") == field and stamp.get("tokenizer") == spec.tokenizer and (what == "tokens" or stamp.get("language") == spec.language.lower())
+        return F.col(f"`{name}`") if fits else None
+
     def tokens(self, field: str) -> Column:
-        """Tokens of a text field: the precomputed column ``<field>_tokens`` if there is one."""
-        return F.col(f"{field}_tokens") if self.corpus.has(f"{field}_tokens") else T.tokens(F.col(f"`{field}`"), self.spec.tokenizer)
+        """Tokens of a text field."""
+        own = self.index(field, "tokens")
+        return own if own is not None else T.tokens(F.col(f"`{field}`"), self.spec.tokenizer)
 
     def stems(self, field: str) -> Column:
-        """Stems of a text field: the precomputed column ``<field>_stems`` if there is one."""
-        return F.col(f"{field}_stems") if self.corpus.has(f"{field}_stems") else T.stems(self.tokens(field))
+        """Stems of a text field."""
+        own = self.index(field, "stems")
+        return own if own is not None else T.stems(self.tokens(field), self.spec.language)
 
     def words(self, term: str, what: str) -> list[str]:
         """The tokens of a term; none is an error, not an empty answer."""
@@ -114,9 +130,12 @@ class Predicates:
             raise QueryError(f"{what}: the term {term!r} has no letters or digits")
         return found
 
-    @staticmethod
-    def adjacent(words: Column, run: list[str]) -> Column:
-        """Whether these tokens are next to each other, in order."""
+    def adjacent(self, words: Column, run: list[str]) -> Column:
+        """Whether these tokens are next to each other, in order. Tokens of the built-in
+        tokenizers have no spaces, so joined text says it."""
+        if callable(self.spec.tokenizer):
+            wanted = F.array(*[F.lit(w) for w in run])
+            return F.exists(F.transform(words, lambda x, i: F.slice(words, i + 1, F.lit(len(run)))), lambda part: part == wanted)
         return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(" " + " ".join(run) + " "))
 
     def _contains(self, name) -> Column:
@@ -151,12 +170,13 @@ class Predicates:
         if any(len(t) > 1 for t in wanted):
             return self._matching(self.stems, wanted, what)
         # A word and its stem begin alike, so few words need stemming at all.
-        letters = sorted({t[0][0] for t in wanted})
+        letters = sorted({x[0][0] for t in terms for x in [self.words(t, what)]} | {t[0][0] for t in wanted})
 
         def likely(field: str) -> Column:
-            if self.corpus.has(f"{field}_stems"):
-                return self.stems(field)
-            return T.stems(F.array_distinct(F.filter(self.tokens(field), lambda w: F.substring(w, 1, 1).isin(letters))))
+            own = self.index(field, "stems")
+            if own is not None:
+                return own
+            return T.stems(F.array_distinct(F.filter(self.tokens(field), lambda w: F.substring(w, 1, 1).isin(letters))), self.spec.language)
 
         return self._matching(likely, wanted, what)
 
@@ -181,16 +201,20 @@ class Predicates:
         """A rule over all text fields."""
         return _any([F.coalesce(of(F.col(f"`{c}`")), F.lit(False)) for c in self.corpus.text_columns(what)])
 
+    def annotated(self, name: str) -> bool:
+        """Whether an annotation wrote this column; a field of that name is none."""
+        return self.corpus.has(name) and is_annotation(self.corpus.schema[name])
+
     def _is_question(self) -> Column:
-        return F.col("is_question") if self.corpus.has("is_question") else self.rule("is_question()", T.is_question)
+        return F.col("is_question") if self.annotated("is_question") else self.rule("is_question()", T.is_question)
 
     def _entity(self, label: str) -> Column:
         if label == "URL":
-            if self.corpus.has("has_link"):
+            if self.annotated("has_link"):
                 return F.col("has_link")
-            own = F.array_contains("entities", "URL") if self.corpus.is_list("entities") else F.lit(False)
+            own = F.array_contains("entities", "URL") if self.annotated("entities") else F.lit(False)
             return F.coalesce(own, F.lit(False)) | self.rule("contains_link()", T.has_link)
-        if not self.corpus.is_list("entities"):
+        if not self.annotated("entities"):
             raise QueryError(f"mentions of {label} need an entities column; annotate the corpus first")
         return F.array_contains("entities", label)
 
@@ -204,7 +228,7 @@ class Predicates:
 
     def mentions(self) -> Column:
         """The names that an event's texts address."""
-        if self.corpus.is_list("mentions"):
+        if self.annotated("mentions"):
             return F.col("mentions")
         names = self.corpus.names()
         own = [T.mentions(F.col(f"`{c}`"), names) for c in self.corpus.text_columns("mentions_user")]

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from strideq.errors import CorpusError, QueryError
 from strideq.functions.times import micros
-from strideq.sources.storage import remove, written, written_at
+from strideq.sources.storage import written
 
 
 @dataclass(frozen=True)
@@ -24,32 +25,67 @@ class CorpusSpec:
     user: str = "user"
     text_fields: tuple[str, ...] = ("text", "content", "message")
     text_match: str = "stem"
-    tokenizer: str = "unicode"
+    tokenizer: str | Callable[[str], list[str]] = "unicode"
     language: str = "english"
     dictionaries: dict = field(default_factory=dict)
     quantifier_ceiling: int | None = None
     embedding: str = "emb"
+    embedding_model: str | None = None
     embedder: Callable[[list[str]], list[list[float]]] | None = None
     feature_names: tuple[str, ...] = ()
     most_names: int = 5000
 
 
+#: The column that says where a row was read; it goes when positions are assigned.
+PLACE = "place_"
+
+
+def placed(df: DataFrame, source: int = 0) -> DataFrame:
+    """``df`` with ``PLACE``: the number of its source, the file, the split and the place in
+    it. Files are in the order of their names. Spark deals splits to tasks by size, so the
+    order in which rows arrive is not the order of the files. A frame that isn't read from
+    files has the order of its partitions."""
+    if PLACE in df.columns:
+        return df
+    nth = F.monotonically_increasing_id()
+    try:
+        meta = df.metadataColumn("_metadata")
+        out = df.withColumn(PLACE, F.struct(F.lit(source).alias("source"), meta["file_path"].alias("file"), meta["file_block_start"].alias("at"), nth.alias("nth")))
+        out.schema  # noqa: B018  (resolves the column)
+        return out
+    except AnalysisException:
+        return df.withColumn(PLACE, F.struct(F.lit(source).alias("source"), F.lit("").alias("file"), F.lit(0).cast("long").alias("at"), nth.alias("nth")))
+
+
 def numbered(df: DataFrame, order: list[Column] | None = None, name: str = "position") -> DataFrame:
-    """``df`` with a dense position from 0, by ``order`` (or as the files are read).
+    """``df`` with a dense position from 0, by ``order`` (or as the files are, see
+    ``placed``).
 
-    Rows are range-partitioned and sorted, written with their partition and place in it,
-    and numbered by the counts of the partitions before: no task sees all rows. The result
-    is written too, so queries read positions and never assign them.
+    Rows are range-partitioned and sorted, and written with their partition and place in
+    it; a position is the place plus the rows of the partitions before, of which there is
+    one number per partition. No task sees all rows, and rows are written once.
     """
-    ordered = df.orderBy(*order) if order else df
-    placed, place = written_at(ordered.withColumn("part_", F.spark_partition_id()).withColumn("nth_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "placed")
-    counts = placed.groupBy("part_").agg(F.count(F.lit(1)).alias("n"))  # a row per partition
-    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("part_", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base_"))
-    out = placed.join(F.broadcast(base), "part_").withColumn(name, (F.col("base_") + F.col("nth_")).cast("long"))
-    out = written(out.drop("part_", "nth_", "base_"), "numbered")
-    remove(df.sparkSession, place)
-    return out
+    if order is None:
+        df = placed(df)
+        order = [F.col(PLACE)]
+    ordered = df.orderBy(*order).drop(PLACE)
+    kept = written(ordered.withColumn("part_", F.spark_partition_id()).withColumn("nth_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "placed")
+    counts = {r["part_"]: r["n"] for r in kept.groupBy("part_").agg(F.count(F.lit(1)).alias("n")).collect()}
+    base, before = [], 0
+    for part in range(max(counts, default=-1) + 1):
+        base.append(before)
+        before += counts.get(part, 0)
+    at = F.get(F.lit(base or [0]).cast("array<bigint>"), F.col("part_")) + F.col("nth_")
+    return kept.withColumn(name, at).drop("part_", "nth_")
+
+
+#: The annotation columns and their types.
+ANNOTATIONS = {"is_question": "boolean", "has_link": "boolean", "mentions": "array<string>", "entities": "array<string>"}
+
+
+def is_annotation(field: StructField) -> bool:
+    """Whether an annotation wrote a column: it has the stamp and the right type."""
+    return bool(field.metadata.get("annotation")) and field.dataType.simpleString() == ANNOTATIONS.get(field.name)
 
 
 class Corpus:
@@ -67,6 +103,10 @@ class Corpus:
             df = df.withColumn("t_us", F.lit(None).cast("long"))
         self.df = df.withColumn("position", F.col("position").cast("long"))
         self.schema: StructType = self.df.schema
+        if self.spec.embedding_model and self.spec.embedding in self.df.columns:
+            made = self.schema[self.spec.embedding].metadata.get("embedding_model")
+            if made and made != self.spec.embedding_model:
+                raise CorpusError(f"{self.spec.embedding!r} was made by {made!r}, and queries are to be encoded by {self.spec.embedding_model!r}")
         self._names: list[str] | None = None
         self._checked: dict[str, bool] = {}
         if check:

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType
 
 from strideq.errors import CorpusError
 from strideq.functions import text as T
 from strideq.functions.times import micros
 from strideq.functions.vectors import normalised
-from strideq.sources.corpus import Corpus, CorpusSpec, numbered
+from strideq.sources.corpus import ANNOTATIONS, PLACE, Corpus, CorpusSpec, is_annotation, numbered, placed
 
 
 def read_source(spark: SparkSession, path: str) -> DataFrame:
@@ -43,17 +44,18 @@ def load_table(spark: SparkSession, path: str, spec: CorpusSpec | None = None) -
 
 def read_sources(spark: SparkSession, sources: list[str], id_col: str, source_col: str | None = None) -> DataFrame:
     """One table from ``[LABEL=]PATH`` sources; of several, ids become ``LABEL:id`` and a
-    column says where a row came from. Columns that a source lacks are null."""
+    column says where a row came from. Columns that a source lacks are null. The order is
+    that of the sources, and in each of the files' names and rows."""
     if len(sources) > 1 and not source_col:
         raise CorpusError("several sources need a source column")
     found = []
-    for s in sources:
+    for number, s in enumerate(sources):
         label, eq, path = s.partition("=")
         if not eq:
             label, path = PurePosixPath(s).stem, s
         if not label or not path or "=" in path:
             raise CorpusError(f"expected [LABEL=]PATH, not {s!r}")
-        df = read_source(spark, path)
+        df = placed(read_source(spark, path), number)
         if len(sources) > 1:
             if id_col not in df.columns:
                 raise CorpusError(f"source {label!r} has no id column {id_col!r}")
@@ -71,13 +73,13 @@ def normalize(df: DataFrame, id_col: str, time_col: str, sort: str | None = None
     for c in (id_col, time_col, *([sort] if sort else []), *(keep or [])):
         if c not in df.columns:
             raise CorpusError(f"no column {c!r}; there are {', '.join(df.columns)}")
-    extra = [c for c in df.columns if c not in (id_col, time_col, "position", "id", "time") and (keep is None or c in keep)]
+    extra = [c for c in df.columns if c not in (id_col, time_col, "position", "id", "time", PLACE) and (keep is None or c in keep)]
     us = micros(F.col(f"`{time_col}`"), df.schema[time_col].dataType, time_unit)
-    out = df.select(F.col(f"`{id_col}`").alias("id"), F.timestamp_micros(us).alias("time"), *[F.col(f"`{c}`") for c in extra], *([F.col(f"`{sort}`").alias("sort_")] if sort and sort not in (time_col, *extra) else []))
-    order = None
+    out = placed(df).select(PLACE, F.col(f"`{id_col}`").alias("id"), F.timestamp_micros(us).alias("time"), *[F.col(f"`{c}`") for c in extra], *([F.col(f"`{sort}`").alias("sort_")] if sort and sort not in (time_col, *extra) else []))
+    order = [F.col(PLACE)]
     if sort:
         by = "time" if sort == time_col else sort if sort in extra else "sort_"
-        order = [F.col(by).asc_nulls_last(), F.monotonically_increasing_id()]
+        order = [F.col(by).asc_nulls_last(), *order]
     out = numbered(out, order).drop("sort_")
     twice = out.groupBy("id").count().filter("count > 1").agg(F.sum("count")).first()[0]
     if twice:
@@ -91,9 +93,10 @@ def describe(df: DataFrame) -> dict:
     return r.asDict()
 
 
-def embed(df: DataFrame, encode: Callable[[list[str]], list[list[float]]], text_col: str = "text", name: str = "emb") -> DataFrame:
+def embed(df: DataFrame, encode: Callable[[list[str]], list[list[float]]], text_col: str = "text", name: str = "emb", model: str | None = None) -> DataFrame:
     """Unit vectors of texts by an injected encoder, in Arrow batches; blank text is a zero
-    vector."""
+    vector. The name of the model is stamped on the column, so that a corpus can refuse
+    queries by another one."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -106,7 +109,8 @@ def embed(df: DataFrame, encode: Callable[[list[str]], list[list[float]]], text_
             yield pd.Series([v if v is not None else [0.0] * width for v in found])
 
     raw = F.pandas_udf(run, "array<float>")(F.col(text_col))
-    return df.withColumn(name, raw).withColumn(name, normalised(F.col(name)))
+    out = df.withColumn(name, raw).withColumn(name, normalised(F.col(name)))
+    return out.withMetadata(name, {"embedding_model": model, "embedding_text": text_col}) if model else out
 
 
 def annotate(df: DataFrame, what: list[str], text_fields: list[str], names: DataFrame | None = None, tag: Callable[[list[str]], list[list[str]]] | None = None, most_names: int = 5000) -> DataFrame:
@@ -146,6 +150,95 @@ def annotate(df: DataFrame, what: list[str], text_fields: list[str], names: Data
     return out
 
 
+def stamp(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with columns marked as annotations: predicates read them as such."""
+    for c in columns:
+        df = df.withMetadata(c, {"annotation": True})
+    if set(columns) - set(stamped(df)):
+        raise CorpusError(f"annotation columns are {', '.join(ANNOTATIONS)}")
+    return df
+
+
+def indexed(df: DataFrame, fields: tuple[str, ...] = ("text",), tokenizer: str = "unicode", language: str | None = "english") -> DataFrame:
+    """``df`` with the tokens of text fields, and with a language their stems, once and for
+    all queries. Stamps say which tokenizer and language they are of."""
+    for f in fields:
+        df = df.withColumn(f"{f}_tokens", T.tokens(F.col(f"`{f}`"), tokenizer)).withMetadata(f"{f}_tokens", {"tokens_of": f, "tokenizer": tokenizer})
+        if language:
+            df = df.withColumn(f"{f}_stems", T.stems(F.col(f"{f}_tokens"), language)).withMetadata(f"{f}_stems", {"stems_of": f, "tokenizer": tokenizer, "language": language.lower()})
+    return df
+
+
+@dataclass(frozen=True)
+class Question:
+    """A typed question to a model. ``kind``: yes_no, choice (``criteria``: label to
+    description) or score (``criteria``: levels, least first). ``where``: it is asked of rows
+    with these values only. An answer less sure than ``least`` is ``unsure``."""
+
+    name: str
+    kind: str
+    instructions: str
+    criteria: dict[str, str] | list[str] | None = None
+    where: dict[str, object] = field(default_factory=dict)
+    least: float = 0.0
+
+    def __post_init__(self):
+        wanted = {"yes_no": type(None), "choice": dict, "score": list}
+        if self.kind not in wanted:
+            raise CorpusError(f"question {self.name!r}: its kind is one of {', '.join(wanted)}")
+        if not self.instructions:
+            raise CorpusError(f"question {self.name!r} has no instructions")
+        if not isinstance(self.criteria, wanted[self.kind]):
+            raise CorpusError(f"question {self.name!r}: criteria of a {self.kind} are a {wanted[self.kind].__name__}")
+
+    def labelled(self, answer: dict) -> tuple[str, float]:
+        """Label and confidence of an answer: ``p`` of yes; ``label`` and ``p``; or a list
+        ``p`` by level."""
+        if self.kind == "yes_no":
+            p = float(answer["p"])
+            return ("unsure" if abs(2 * p - 1) < self.least else "yes" if p >= 0.5 else "no"), p
+        if self.kind == "choice":
+            label, p = str(answer["label"]), float(answer["p"])
+            if label not in self.criteria:
+                raise CorpusError(f"question {self.name!r} has no choice {label!r}")
+        else:
+            p = max(map(float, answer["p"]))
+            label = str(self.criteria[list(map(float, answer["p"])).index(p)])
+        return ("unsure" if p < self.least else label), p
+
+
+def judged(df: DataFrame, questions: list[Question], ask: Callable[[list[dict], list[Question]], list[dict[str, dict]]], columns: tuple[str, ...] = ("text",), clip: int | None = None) -> DataFrame:
+    """Several typed questions at once, by an injected client that gets the rows' columns
+    (their first ``clip`` characters) and the questions, and gives an answer per row and
+    question. Each question adds its label and its confidence ``<name>_p``; rows that a
+    question isn't for have null."""
+    for q in questions:
+        for c in (q.name, q.name + "_p"):
+            if c in df.columns:
+                raise CorpusError(f"there is a column {c!r} already")
+        for c in q.where:
+            if c not in df.columns:
+                raise CorpusError(f"question {q.name!r} is for rows with {c!r}, which is no column")
+    schema = ", ".join(f"`{q.name}` string, `{q.name}_p` double" for q in questions)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = batch[list(columns)].to_dict("records")
+            if clip:
+                rows = [{k: v[:clip] if isinstance(v, str) else v for k, v in r.items()} for r in rows]
+            out = {c: [None] * len(rows) for q in questions for c in (q.name, q.name + "_p")}
+            for i, (answers, asked) in enumerate(zip(ask(rows, questions), batch["asked_"], strict=True)):
+                for q, own in zip(questions, asked, strict=True):
+                    if own:
+                        out[q.name][i], out[q.name + "_p"][i] = q.labelled(answers[q.name])
+            yield pd.DataFrame(out)
+
+    is_for = [reduce(lambda a, b: a & b, [F.coalesce(F.col(f"`{c}`") == F.lit(v), F.lit(False)) for c, v in q.where.items()], F.lit(True)) for q in questions]
+    given = F.struct(*[F.col(f"`{c}`") for c in columns], F.array(*is_for).alias("asked_"))
+    out = df.withColumn("answers_", F.pandas_udf(run, schema)(given))
+    return out.withColumns({c: F.col(f"answers_.`{c}`") for q in questions for c in (q.name, q.name + "_p")}).drop("answers_")
+
+
 def judge(df: DataFrame, question: str, name: str, labels: list[str], ask: Callable[[list[str], str, list[str]], list[tuple[str, float]]], text_col: str = "text", least: float = 0.6) -> DataFrame:
     """A typed question to an injected client, for each text: the label, ``unsure`` below the
     least confidence, and the confidence as ``<name>_p``."""
@@ -161,12 +254,11 @@ def judge(df: DataFrame, question: str, name: str, labels: list[str], ask: Calla
 
 def stamped(df: DataFrame) -> list[str]:
     """The columns that an annotation wrote; a field of the same name is none."""
-    found = [f.name for f in df.schema if f.metadata.get("annotation")]
-    for c in found:
-        kind = df.schema[c].dataType
-        if c in ("entities", "mentions") and not isinstance(kind, ArrayType) or c in ("is_question", "has_link") and not isinstance(kind, BooleanType):
-            raise CorpusError(f"the annotation column {c!r} has the wrong type {kind.simpleString()}")
-    return found
+    found = [f for f in df.schema if f.metadata.get("annotation")]
+    for f in found:
+        if not is_annotation(f):
+            raise CorpusError(f"the annotation column {f.name!r} has the wrong type {f.dataType.simpleString()}")
+    return [f.name for f in found]
 
 
 def features(df: DataFrame, id_col: str, annotations: dict[str, Column]) -> DataFrame:
