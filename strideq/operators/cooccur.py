@@ -16,14 +16,16 @@ from strideq.errors import QueryError
 from strideq.operators.frames import BOUND, Groups, Rows, Use, agree, bucket, differ, positions
 
 
-def _grown(part: DataFrame, other: DataFrame, window: int) -> DataFrame:
-    """Partial matches (lo, hi, ...) with every ``other`` (x_lo, x_hi, ...) in reach."""
+def _grown(part: DataFrame, other: DataFrame, window: int, keys: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Partial matches (lo, hi, ...) with every ``other`` (x_lo, x_hi, ...) in reach whose
+    key columns are equal."""
     width = max(window, 1)
     first, last = bucket(F.col("hi") - window, width), bucket(F.col("lo") + window, width)
     a = part.filter("hi - lo <= %d" % window).withColumn("b", F.explode(F.sequence(first, last)))
     b = other.withColumn("b", bucket(F.col("x_lo"), width))
     span = F.greatest("hi", "x_hi") - F.least("lo", "x_lo")
-    return a.join(b, "b").drop("b").filter(span <= window)
+    same = reduce(lambda c, k: c & (F.col(k[0]) == F.col(k[1])), keys or [], F.col("b") == F.col("other_b"))
+    return a.join(b.withColumnRenamed("b", "other_b"), same).drop("b", "other_b").filter(span <= window)
 
 
 def together(legs: list[tuple[Rows, int]], axis: str, window: int) -> Groups:
@@ -39,7 +41,11 @@ def together(legs: list[tuple[Rows, int]], axis: str, window: int) -> Groups:
         if part is None:
             part = one.withColumnsRenamed({"x_lo": "lo", "x_hi": "hi"})
         else:
-            met = _grown(part, one, window)
+            # A variable of single values is a join key beside the stretch, from the first leg
+            # on that has it again.
+            earlier = {u.var: u.column for us in reversed(uses) for u in us if not u.is_list}
+            keys = [(earlier[u.var], f"c{i}_{u.column}") for u in rows.equal if not u.is_list and u.var in earlier]
+            met = _grown(part, one, window, keys)
             met = met.filter(F.col(f"p{i}") > F.col(f"p{i - 1}")) if again else met.filter(reduce(lambda a, b: a & b, [F.col(f"p{i}") != F.col(f"p{k}") for k in range(i)]))
             part = met.withColumns({"lo": F.least("lo", "x_lo"), "hi": F.greatest("hi", "x_hi")}).drop("x_lo", "x_hi")
         uses.append([Use(u.var, f"c{i}_{u.column}", u.is_list) for u in rows.equal])

@@ -15,11 +15,20 @@ def _edges(groups: Groups, axis: str, prefix: str) -> DataFrame:
     return df
 
 
+def _same(left: Groups, right: Groups) -> Column:
+    """Shared variables of single values are equal, plain, so that a join takes them as keys."""
+    found = F.lit(True)
+    for v, is_list in right.bound.items():
+        if v in left.bound and not is_list and not left.bound[v]:
+            found = found & (F.col(f"l.`{BOUND}{v}`") == F.col(f"r.`{BOUND}{v}`"))
+    return found
+
+
 def _test(left: Groups, right: Groups, unequal: list[tuple[str, str, bool, str]]) -> Column:
-    """Shared variables agree; ``unequal`` is (side, column, is a list, variable)."""
+    """Shared lists agree; ``unequal`` is (side, column, is a list, variable)."""
     found = F.lit(True)
     for v, is_list in right.bound.items():
-        if v in left.bound:
+        if v in left.bound and (is_list or left.bound[v]):
             found = found & agree(F.col(f"l.`{BOUND}{v}`"), F.col(f"r.`{BOUND}{v}`"), left.bound[v], is_list)
     for side, column, is_list, v in unequal:
         other, bound = ("r", right.bound) if side == "l" else ("l", left.bound)
@@ -39,6 +48,7 @@ def link(left: Groups, right: Groups, axis: str, window: int, forward: bool, neg
     b = b.select("r", F.col("lo" if forward else "hi").alias("rx"), F.col("first" if forward else "last").alias("rq")).filter("rx is not null")
     width = max(window, 1)
     distance = F.col("rx") - F.col("x") if forward else F.col("x") - F.col("rx")
+    same = _same(left, right)
     near = (distance > 0) & (distance <= window) & _test(left, right, unequal)
     if negative:
         for v in right.bound:
@@ -46,10 +56,10 @@ def link(left: Groups, right: Groups, axis: str, window: int, forward: bool, neg
                 raise QueryError(f"${v} on the excluded side is not bound on the left")
         reach = F.col("rx") - window if forward else F.col("rx") + window
         many = b.select("r", "rx", F.explode(F.array_distinct(F.array(bucket(F.col("rx"), width), bucket(reach, width)))).alias("rb"))
-        return left.of(a.withColumn("b", bucket(F.col("x"), width)).join(many, (F.col("b") == F.col("rb")) & near, "left_anti").select("l.*"))
+        return left.of(a.withColumn("b", bucket(F.col("x"), width)).join(many, (F.col("b") == F.col("rb")) & same & near, "left_anti").select("l.*"))
     reach = F.col("x") + window if forward else F.col("x") - window
     many = a.withColumn("b", F.explode(F.array_distinct(F.array(bucket(F.col("x"), width), bucket(reach, width)))))
-    met = many.join(b.withColumn("b", bucket(F.col("rx"), width)), "b").filter(near).withColumn("d", distance)
+    met = many.join(b.withColumn("rb", bucket(F.col("rx"), width)), (F.col("b") == F.col("rb")) & same).filter(near).withColumn("d", distance)
     order = Window.partitionBy("id_").orderBy("d", F.col("rq") if forward else -F.col("rq"))
     met = met.withColumn("rank_", F.rank().over(order)).filter("rank_ = 1")
     bound, columns = dict(left.bound), {v: F.col(f"l.`{BOUND}{v}`") for v in left.bound}

@@ -2,7 +2,8 @@
 
 Two strategies. As-of: both sides in one frame, partitioned by stretches of the axis (and
 by the variables' values), sorted once, and a running last value; for links without
-conditions or with equalities of single values. Candidates: a bucketed equi-join with the
+conditions, with equalities of single values, or with one inequality of single values
+beside these. Candidates: a bucketed equi-join with the
 exact window and conditions, and the nearest kept per group; for everything else, since a
 condition must hold before the nearest is chosen.
 """
@@ -73,11 +74,50 @@ def _as_of(left: DataFrame, right: DataFrame, keys: list[Use], window: int, forw
     return seen.filter("side = 0").select("l", F.when(near, F.col("r")).alias("r"))
 
 
-def _test(keys: list[Use], others: list[tuple], distinct: bool) -> Column:
-    """All conditions between ``l`` and ``r``; false where a value is missing."""
+def _as_of_other(left: DataFrame, right: DataFrame, keys: list[Use], use: Use, window: int, forward: bool) -> DataFrame:
+    """The same, for the nearest right row whose value of one variable differs from the left
+    row's: the nearest row, or else the nearest of another value than that row's. Either is
+    a running value of one sorted frame, so pairs in the window are never made."""
+    width = STRETCH * max(window, 1)
+    reach = F.col("x") - window if forward else F.col("x") + window
+    names = [f"k{i}" for i in range(len(keys))]
+    kinds = [right.schema["r"].dataType[u.column].dataType for u in keys]
+    value = F.col(f"r.`{use.column}`")
+    a = left.select(
+        "x", "q", F.lit(0).alias("side"), *[F.col(f"l.`{BOUND}{u.var}`").cast(k).alias(n) for u, n, k in zip(keys, names, kinds, strict=True)], bucket(F.col("x"), width).alias("b"), "l", F.lit(None).cast(right.schema["r"].dataType).alias("r")
+    )
+    b = right.filter(value.isNotNull()).select(
+        "x", "q", F.lit(1).alias("side"), *[F.col(f"r.`{u.column}`").alias(n) for u, n in zip(keys, names, strict=True)], F.explode(F.array_distinct(F.array(bucket(F.col("x"), width), bucket(reach, width)))).alias("b"), F.lit(None).cast(left.schema["l"].dataType).alias("l"), "r"
+    )
+    for n in names:
+        b = b.filter(F.col(n).isNotNull())
+    order = [F.col("x").desc(), F.col("side").asc(), F.col("q").desc()] if forward else [F.col("x").asc(), F.col("side").asc(), F.col("q").asc()]
+    own = Window.partitionBy("b", *names).orderBy(*order)
+    before, so_far = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, 0)
+    seen = a.unionByName(b).withColumn("n", F.when(F.col("side") == 1, F.struct("r", "x")))
+    seen = seen.withColumn("prior", F.last("n", ignorenulls=True).over(before))
+    # Where the value changes, the row before is the nearest of another value from here on.
+    changed = F.when((F.col("side") == 1) & (F.col(f"prior.r.`{use.column}`") != value), F.col("prior"))
+    seen = seen.withColumn("first_", F.last("n", ignorenulls=True).over(so_far)).withColumn("second_", F.last(changed, ignorenulls=True).over(so_far))
+    bound = F.col(f"l.`{BOUND}{use.var}`")
+    pick = F.when(F.col(f"first_.r.`{use.column}`") != bound, F.col("first_")).otherwise(F.when(bound.isNotNull(), F.col("second_")))
+    out = seen.filter("side = 0").withColumn("pick", pick)
+    distance = F.col("pick.x") - F.col("x") if forward else F.col("x") - F.col("pick.x")
+    near = F.coalesce((distance > 0) & (distance <= window), F.lit(False))
+    return out.select("l", F.when(near, F.col("pick.r")).alias("r"))
+
+
+def _same(keys: list[Use]) -> Column:
+    """The equalities of single values, plain, so that a join takes them as keys."""
     found = F.lit(True)
     for u in keys:
         found = found & (F.col(f"l.`{BOUND}{u.var}`") == F.col(f"r.`{u.column}`"))
+    return found
+
+
+def _test(others: list[tuple], distinct: bool) -> Column:
+    """The other conditions between ``l`` and ``r``; false where a value is missing."""
+    found = F.lit(True)
     for test, is_list, u in others:
         found = found & test(F.col(f"r.`{u.column}`"), F.col(f"l.`{BOUND}{u.var}`"), u.is_list, is_list)
     if distinct:
@@ -85,14 +125,15 @@ def _test(keys: list[Use], others: list[tuple], distinct: bool) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def _in_reach(left: DataFrame, right: DataFrame, window: int, forward: bool) -> DataFrame:
-    """Pairs within the window, by an equi-join on stretches of the axis."""
+def _in_reach(left: DataFrame, right: DataFrame, keys: list[Use], window: int, forward: bool) -> DataFrame:
+    """Pairs within the window and with equal keys, by an equi-join on these and on
+    stretches of the axis."""
     width = max(window, 1)
     reach = F.col("x") + window if forward else F.col("x") - window
     a = left.select("x", "q", "l", F.explode(F.array_distinct(F.array(bucket(F.col("x"), width), bucket(reach, width)))).alias("b"))
-    b = right.select(F.col("x").alias("rx"), F.col("q").alias("rq"), "r", bucket(F.col("x"), width).alias("b"))
+    b = right.select(F.col("x").alias("rx"), F.col("q").alias("rq"), "r", bucket(F.col("x"), width).alias("rb"))
     distance = F.col("rx") - F.col("x") if forward else F.col("x") - F.col("rx")
-    return a.join(b, "b").withColumn("d", distance).filter((F.col("d") > 0) & (F.col("d") <= window))
+    return a.join(b, (F.col("b") == F.col("rb")) & _same(keys)).withColumn("d", distance).filter((F.col("d") > 0) & (F.col("d") <= window))
 
 
 def follow(groups: Groups, rows: Rows, axis: str, window: int, forward: bool) -> Groups:
@@ -105,8 +146,12 @@ def follow(groups: Groups, rows: Rows, axis: str, window: int, forward: bool) ->
         for u in keys:
             left = left.filter(F.col(f"l.`{BOUND}{u.var}`").isNotNull())
         met = _as_of(left, right, keys, window, forward).filter("r is not null")
+    elif not distinct and len(others) == 1 and others[0][0] is differ and not others[0][1] and not others[0][2].is_list:
+        for u in keys:
+            left = left.filter(F.col(f"l.`{BOUND}{u.var}`").isNotNull())
+        met = _as_of_other(left, right, keys, others[0][2], window, forward).filter("r is not null")
     else:
-        met = _in_reach(left, right, window, forward).filter(_test(keys, others, distinct))
+        met = _in_reach(left, right, keys, window, forward).filter(_test(others, distinct))
         order = F.struct("d", F.col("rq") if forward else -F.col("rq"))
         met = met.groupBy(positions(F.col("l.m")).alias("g")).agg(F.min_by(F.struct("l", "r"), order).alias("n")).select("n.l", "n.r")
     m = F.concat("l.m", F.array("r.member")) if forward else F.concat(F.array("r.member"), F.col("l.m"))
@@ -147,5 +192,5 @@ def absent(groups: Groups, rows: Rows, axis: str, window: int, forward: bool) ->
     a = left.withColumn("b", bucket(F.col("x"), width)).alias("a")
     b = right.select(F.col("x").alias("rx"), "r", F.explode(F.array_distinct(F.array(bucket(F.col("x"), width), bucket(reach, width)))).alias("rb"))
     distance = F.col("rx") - F.col("x") if forward else F.col("x") - F.col("rx")
-    near = (F.col("b") == F.col("rb")) & (distance > 0) & (distance <= window) & _test(keys, others, False)
+    near = (F.col("b") == F.col("rb")) & _same(keys) & (distance > 0) & (distance <= window) & _test(others, False)
     return groups.of(a.join(b, near, "left_anti").select("l.*"))
