@@ -22,6 +22,11 @@ from strideq.sources.logs import read_logs
         ("for f in *; do mv $f y; done", ("mv", "exec", None)),
         ("cat <<EOF > f\nrm -rf /\nEOF\nls # rm -rf /", ("cat", "exec", None)),
         ("echo 'open", ("echo", "exec", None)),
+        ("echo it's done && rm -rf x", ("echo", "destructive", None)),
+        ('echo "$(rm -rf x; (ls))" `rm -r y`; ls', ("echo", "exec", None)),
+        ("cat <<A <<B\nx\nA\ny\nB\nwget http://h/x", ("cat", "network", "h")),
+        ("rm -- -r", ("rm", "exec", None)),
+        ("git push origin +main", ("git", "destructive", None)),
         ("psql -c 'DROP TABLE x'", ("psql", "destructive", None)),
     ],
 )
