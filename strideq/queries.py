@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideq.engine import Engine
+from strideq.sources import ingest
 from strideq.sources.corpus import Corpus, CorpusSpec, numbered
 
 DICTIONARIES = {"articles": ["the", "la", "der"], "insults": {"terms": ["idiot", "moron"], "match": "token"}, "parts": {"terms": ["tion", "licensed"], "match": "substring"}, "wordy": {"terms": ["stupid", "loser"], "match": "stem"}}
@@ -44,7 +45,21 @@ def _orders(spark: SparkSession, sf: str) -> Engine:
 def _documents(spark: SparkSession, sf: str) -> Engine:
     df = spark.read.parquet(f"{sf}/documents.parquet")
     spec = CorpusSpec(id="doc_id", time=None, user="source", text_match="token", dictionaries=DICTIONARIES)
-    return Engine(Corpus(numbered(df, [F.col("doc_id")]), spec))
+    entities = F.array(F.when(F.contains("text", F.lit("Apache")), "ORG"), F.when(F.col("text").rlike(r"\d{4}-\d{2}-\d{2}"), "DATE"))
+    df = df.withColumn("entities", F.coalesce(F.filter(entities, lambda x: x.isNotNull()), F.array().cast("array<string>")))
+    return Engine(Corpus(numbered(ingest.indexed(ingest.stamp(df, "entities")), [F.col("doc_id")]), spec))
+
+
+def _pages(spark: SparkSession, sf: str) -> Engine:
+    df = spark.read.parquet(f"{sf}/pages.parquet").withColumn("text", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("see "), "url")).otherwise(F.col("html")))
+    return Engine(Corpus(numbered(df, [F.col("page_id")]), CorpusSpec(id="page_id", time=None)))
+
+
+def _addressed(spark: SparkSession, sf: str) -> Engine:
+    df = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    to = F.element_at(F.array(F.lit("user"), F.lit("Assistant"), F.lit("userx")), (F.pmod(F.col("turn"), F.lit(3)) + 1).cast("int"))
+    df = df.withColumn("text", F.concat(F.lit("to @"), to, F.lit(": well?")))
+    return Engine(Corpus(numbered(df, [F.col("conv_id"), F.col("turn")]), CorpusSpec(time=None, user="role")))
 
 
 def _turns(spark: SparkSession, sf: str) -> Engine:
@@ -71,6 +86,8 @@ _events_engine = _cached("events", _events)
 _orders_engine = _cached("orders", _orders)
 _documents_engine = _cached("documents", _documents)
 _turns_engine = _cached("turns", _turns)
+_pages_engine = _cached("pages", _pages)
+_addressed_engine = _cached("addressed", _addressed)
 _labelled_engine = _cached("labelled", _labelled)
 _vectors_engine = _cached("vectors", _vectors)
 
@@ -157,6 +174,12 @@ def _ranked(spark: SparkSession, sf: str) -> DataFrame:
     return similar(e.corpus, "x", 20).select("position", F.round("score", 6).alias("score"))
 
 
+def _ranked_count(spark: SparkSession, sf: str) -> DataFrame:
+    from strideq.operators.search import similar
+
+    return similar(_vectors_engine(spark, sf).corpus, "x", 1, 0.1).select("total")
+
+
 def _profile(spark: SparkSession, sf: str) -> DataFrame:
     from strideq.operators.profile import profile
 
@@ -169,8 +192,13 @@ def _scout(spark: SparkSession, sf: str) -> DataFrame:
     return scout(_documents_engine(spark, sf).corpus, "licensed apache", 10).select("position", F.round("score", 6).alias("score"))
 
 
+#: What relative times count from in the query ``ago``: 2024-01-20 00:00 UTC.
+_NOW = 1_705_708_800_000_000
+#: Words whose stem is that of a word of the dictionary.
+_STEMS = ["stupid", "stupids", "stupidly", "stupidity", "stupidities", "loser", "losers"]
 _DOC = "d AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents)"
 _TOK = r"regexp_extract_all(lower(text), 'https?://\S+|[\p{L}\p{N}_]+@[\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)+|[\p{L}\p{N}_][+#]+|[\p{L}\p{N}_]+(?:''[\p{L}\p{N}_]+)*')"
+_PAGE = "g AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN 'see ' || url ELSE html END AS text, row_number() OVER (ORDER BY page_id) - 1 AS p FROM pages)"
 _TURN = "c AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS p FROM conversations)"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -230,7 +258,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "substring": _on(_documents_engine, "SELECT contains(parts)"),
     "stem": _on(_documents_engine, "SELECT contains(wordy)"),
     "phrase": _on(_documents_engine, 'SELECT contains_phrase("under the apache")'),
-    "link": _on(_documents_engine, "SELECT contains_link()"),
+    "link": _on(_pages_engine, "SELECT contains_link()"),
+    "no_link": _on(_pages_engine, "SELECT NOT contains_link()"),
+    "entity": _on(_documents_engine, "SELECT mentions_org() OR mentions_date()"),
+    "entity_not": _on(_documents_engine, "SELECT NOT mentions_date() AND contains(articles)"),
+    "mentioned": _on(_addressed_engine, "SELECT mentions_user(assistant)"),
+    "mention_link": _on(_addressed_engine, "SELECT mentions_user($y) FOLLOWED_BY from($y) INWINDOW 3", 2),
+    "any_text": _on(_turns_engine, "SELECT contains(*) AND from(user)"),
+    "own_equal": _on(_turns_engine, "SELECT field(turn,$c) AND field(conv_id,$c)"),
+    "own_differ": _on(_turns_engine, "SELECT field(turn,$c) AND field(conv_id,!$c)"),
+    "default_window": _events_query("SELECT field(event_type,purchase) AND field(user_id,7), field(event_type,error) AND field(user_id,7)", 2),
+    "named_row": _events_query('SELECT field(event_type,error) AS "e", field(event_type,click) AS "c" INWINDOW 2', 2),
+    "pipe_run": _ends("run(field(event_type,error) and field(user_id,$u), 5h){2,4}"),
+    "ago": lambda spark, sf: _events_engine(spark, sf).wide(_FB + " AFTER(10 days AGO)", 2, now_us=_NOW),
+    "group_month": lambda spark, sf: _orders_engine(spark, sf).plan("SELECT field(o_orderstatus,F) GROUP BY MONTHS(o_orderdate) AGGREGATE count()"),
+    "group_year": lambda spark, sf: _orders_engine(spark, sf).plan("SELECT field(o_orderstatus,F) GROUP BY YEARS(o_orderdate) AGGREGATE count()"),
+    "agg_first_time": lambda spark, sf: _orders_engine(spark, sf).plan("SELECT field(o_orderpriority,'1-URGENT') AGGREGATE min(o_orderdate)"),
+    "agg_last_time": lambda spark, sf: _orders_engine(spark, sf).plan("SELECT field(o_orderpriority,'1-URGENT') GROUP BY o_orderstatus AGGREGATE max(o_orderdate)"),
+    "similar_count": _ranked_count,
     "question": _on(_documents_engine, "SELECT is_question()"),
     "feature": _on(_labelled_engine, "SELECT has_feature(toxic) AND NOT labeled_as(good)"),
     "turns_chain": _on(_turns_engine, "SELECT from(user) FOLLOWED_BY from(assistant) INWINDOW 1", 2),
@@ -305,7 +350,27 @@ ORACLE_SQL: dict[str, str] = {
     "dictionary": f"WITH {_DOC} SELECT p AS p0 FROM d WHERE list_has_any({_TOK}, ['the', 'la', 'der']) AND NOT list_has_any({_TOK}, ['idiot', 'moron'])",
     "substring": f"WITH {_DOC} SELECT p AS p0 FROM d WHERE contains(lower(text), 'tion') OR contains(lower(text), 'licensed')",
     "phrase": f"WITH {_DOC} SELECT p AS p0 FROM d WHERE contains(' ' || array_to_string({_TOK}, ' ') || ' ', ' under the apache ')",
-    "link": f"WITH {_DOC} SELECT p AS p0 FROM d WHERE regexp_matches(text, '(?i)https?://\\S')",
+    "stem": f"WITH {_DOC} SELECT p AS p0 FROM d WHERE list_has_any({_TOK}, {_STEMS})",
+    "link": f"WITH {_PAGE} SELECT p AS p0 FROM g WHERE regexp_matches(text, '(?i)https?://\\S')",
+    "no_link": f"WITH {_PAGE} SELECT p AS p0 FROM g WHERE NOT coalesce(regexp_matches(text, '(?i)https?://\\S'), false)",
+    "entity": f"WITH {_DOC} SELECT p AS p0 FROM d WHERE contains(text, 'Apache') OR regexp_matches(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')",
+    "entity_not": f"WITH {_DOC} SELECT p AS p0 FROM d WHERE NOT regexp_matches(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND list_has_any({_TOK}, ['the', 'la', 'der'])",
+    "mentioned": f"WITH {_TURN} SELECT p AS p0 FROM c WHERE turn % 3 = 1 AND EXISTS (SELECT 1 FROM c WHERE role = 'assistant')",
+    "mention_link": f"""WITH {_TURN}, l AS (SELECT p, CASE turn % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' END AS y FROM c),
+        n AS (SELECT l.p, r.p AS np, row_number() OVER (PARTITION BY l.p ORDER BY r.p) AS k FROM l JOIN c r ON r.role = l.y AND r.p > l.p AND r.p <= l.p + 3) SELECT p AS p0, np AS p1 FROM n WHERE k = 1""",
+    "any_text": f"WITH {_TURN} SELECT p AS p0 FROM c WHERE role = 'user'",
+    "own_equal": f"WITH {_TURN} SELECT p AS p0 FROM c WHERE turn = conv_id",
+    "own_differ": f"WITH {_TURN} SELECT p AS p0 FROM c WHERE turn <> conv_id",
+    "default_window": f"WITH {_EV} SELECT DISTINCT least(l.p, r.p) AS p0, greatest(l.p, r.p) AS p1 FROM ev l JOIN ev r ON {_kind('l', 'purchase')} AND {_kind('r', 'error')} AND l.user_id = 7 AND r.user_id = 7 AND abs(l.p - r.p) <= 70",
+    "named_row": _pairs("error", "click", "p", 2),
+    "pipe_run": _runs("user_id", "error", "us", 300 * _MIN, "count(*) BETWEEN 2 AND 4"),
+    "ago": f"WITH {_FB_CTE}, t AS (SELECT {_NOW} - 10 * 86400000000 AS t) SELECT CASE WHEN us > t THEN p ELSE np END AS p0, CASE WHEN us > t THEN np END AS p1 FROM n, t WHERE nus > t",
+    "group_month": f"WITH {_OR} SELECT strftime(o_orderdate, '%Y-%m') AS key, count(*)::BIGINT AS value FROM od WHERE o_orderstatus = 'F' GROUP BY 1",
+    "group_year": f"WITH {_OR} SELECT strftime(o_orderdate, '%Y') AS key, count(*)::BIGINT AS value FROM od WHERE o_orderstatus = 'F' GROUP BY 1",
+    "agg_first_time": f"WITH {_OR} SELECT strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS value FROM od WHERE o_orderpriority = '1-URGENT'",
+    "agg_last_time": f"WITH {_OR} SELECT o_orderstatus AS key, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS value FROM od WHERE o_orderpriority = '1-URGENT' GROUP BY 1",
+    "similar_count": """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
+        SELECT count(*)::BIGINT AS total FROM embeddings, q WHERE list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE)) >= 0.1""",
     "question": rf"""WITH {_DOC} SELECT p AS p0 FROM d WHERE regexp_matches(text, '\?($|[\s)\]}}"''»”’.,;:!?])')
         OR regexp_matches(lower(trim(text)), '^(what|who|when|where|why|how|which|can|could|would|should|do|does|did|is|are|was|were|will) ')""",
     "feature": f"WITH {_DOC} SELECT p AS p0 FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
