@@ -28,9 +28,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from strideq.llm.common import table
+from strideq.llm.common import table, trimmed
 
 #: Texts of these characters need no normalisation but lower case, and ``str.split``
 #: agrees with the vocabulary's idea of white space on them.
@@ -154,11 +155,11 @@ class PrefixBpe:
         ids.reverse()
         return ids
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """ids (little-endian) and shown tokens of a lower-case run without white space."""
+    def _chunk(self, chunk: str) -> bytes:
+        """ids (little-endian) of a lower-case run without white space."""
         return self._pieces_of(chunk, (chunk,) if chunk.isascii() and chunk.isalpha() else self._pieces.findall(chunk))
 
-    def _pieces_of(self, chunk: str, words) -> tuple[bytes, str]:
+    def _pieces_of(self, chunk: str, words) -> bytes:
         ids: list[int] = []
         for w in words:
             got = self._words.get(w)
@@ -169,48 +170,49 @@ class PrefixBpe:
                         self._words.clear()
                     self._words[w] = got
             ids += got
-        out = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.text_of[i] for i in ids])
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(chunk) < 60:
             if len(self._chunks) >= _CACHED:
                 self._chunks.clear()
             self._chunks[chunk] = out
         return out
 
-    def _by_library(self, part: str) -> list[tuple[bytes, str]]:
+    def _by_library(self, part: str) -> bytes:
         """For letters newer than this Python's tables: the library says where words end."""
         letters = {c: b for b, c in _byte_letters().items()}
         split = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(part))
         words = [bytes(letters[c] for c in w).decode("utf-8", "surrogatepass") for w, _ in split]
-        return [self._pieces_of(" " * 60, words)] if words else []
+        return self._pieces_of(" " * 60, words)
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """ids of a text as little-endian 32-bit integers, and the text they decode to."""
-        ids, shown = [], []
+    def encode(self, text: str) -> bytes:
+        """ids of a text as little-endian 32-bit integers."""
+        ids: list[bytes] = []
         for part in self._split_added.split(text) if self._split_added else [text]:
             if part in self.added:
                 ids.append(self.added[part].to_bytes(4, "little"))
-                shown.append(part)
                 continue
             if _PLAIN.fullmatch(part):
                 chunks = part.lower().split()
             else:
                 # Letter by letter: a final sigma has no lower case of its own here.
                 if any(unicodedata.category(c) == "Cn" for c in set(part)):
-                    for x in self._by_library(part):
-                        ids.append(x[0])
-                        shown.append(x[1])
+                    ids.append(self._by_library(part))
                     continue
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 chunks = [c for c in _SPACE.split(part) if c]
             get, new = self._chunks.get, self._chunk
-            got = [get(c) or new(c) for c in chunks]
-            ids += [x[0] for x in got]
-            shown += [x[1] for x in got]
-        return b"".join(ids), " ".join(x for x in shown if x)
+            ids += [get(c) or new(c) for c in chunks]
+        return b"".join(ids)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, special tokens included."""
-        return " ".join(self.text_of[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4))
+        of = self.text_of
+        return " ".join([of[i] for i in struct.unpack(f"<{len(ids) // 4}I", ids)])
+
+    def forget(self) -> None:
+        """Drop what is kept of words and pairs."""
+        self._words, self._chunks = {}, {}
+        self._fits.clear()
 
 
 def _byte_letters() -> dict[int, str]:
@@ -227,22 +229,25 @@ def encoder(path: str) -> PrefixBpe:
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` of every row."""
+    """id, ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded``, the text that
+    these ids decode to, of every row."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = d.schema["doc_id"].dataType.simpleString()
+    schema = T.StructType([d.schema["doc_id"], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:
             texts = batch.column("text")
             for lo in range(0, batch.num_rows, 256):
-                part = [bpe.encode(t) for t in texts.slice(lo, 256).to_pylist()]
+                ids = [bpe.encode(t) for t in texts.slice(lo, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, 256), pa.array([x[0] for x in part], pa.binary()), pa.array([x[1] for x in part], pa.string())],
+                    [batch.column("doc_id").slice(lo, 256), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())],
                     ["doc_id", "ids", "decoded"],
                 )
+        bpe.forget()
+        trimmed()
 
-    return d.mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return d.mapInArrow(run, schema)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

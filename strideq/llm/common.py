@@ -1,15 +1,21 @@
-"""What the operators of this subpackage share: tables, shared storage, folds."""
+"""What the operators of this subpackage share: tables, shared storage, folds, sizes."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
 
-_OWN_DIR: list[str] = []
+from strideq.sources.storage import remove, remove_late, written_at
+
+__all__ = ["SMALL", "fold", "hint_small", "is_small", "remove", "saved", "table", "trimmed"]
+
+#: Bytes of rows that may be broadcast.
+SMALL = 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,46 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only a session without that setting, as in tests, gets a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="strideq-"))
-    return f"file://{_OWN_DIR[0]}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared storage."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _remove_late(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session is gone; the folder's owner clears it
-        pass
-
-
 def saved(df: DataFrame, name: str, keep: bool = True) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it again; also the path.
 
-    This cuts lineage: a lost executor costs no more than the stage that reads the
-    files. ``keep`` leaves the files until the driver ends (a lazy result may read
-    them); otherwise the caller removes the path.
+    ``keep`` leaves the files until the driver ends (a lazy result may read them);
+    otherwise the caller removes the path.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strideq/{uuid.uuid4().hex}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    out, path = written_at(df, name)
     if keep:
-        atexit.register(_remove_late, spark, path)
-    return spark.read.schema(df.schema).parquet(path), path
+        remove_late(df.sparkSession, path)
+    return out, path
 
 
 def fold(doc_id: str, n: int) -> Column:
@@ -64,21 +40,38 @@ def fold(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def first_by_hash(df: DataFrame, most: int, n: int, of: list[str]) -> DataFrame:
-    """The first ``most`` of ``n`` rows by a hash of some columns.
+def _width(c: Column, kind: DataType) -> Column:
+    """About the bytes of a value in a broadcast row."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        inner = 16 if isinstance(kind.elementType, StringType | BinaryType) else 8 * max(1, len(getattr(kind.elementType, "fields", ())))
+        return F.greatest(F.size(c), F.lit(0)) * inner + 24
+    return F.lit(8 * max(1, len(getattr(kind, "fields", ()))))
 
-    Rows beyond about twice the share that is wanted are left out where they are read, so
-    that tasks together send a few times ``most`` rows to the driver, however many they are.
-    """
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in of])
-    if n > 4 * most:
-        df = df.filter(h.bitwiseAND(F.lit((1 << 52) - 1)) < int((2 * most + 50) / n * (1 << 52)))
-    return df.orderBy(h, *[F.col(f"`{c}`") for c in of]).limit(most)
 
+def is_small(df: DataFrame, most: int = SMALL) -> bool:
+    """Whether the rows of ``df``, a table just written, take at most ``most`` bytes."""
+    own = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(32))
+    return (df.agg(F.sum(own.cast("long"))).first()[0] or 0) <= most
 
-def hint_small(df: DataFrame, most: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows; else as it is.
 
-    Counts no further than ``most + 1``, so it is cheap on a table just written.
-    """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def hint_small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df`` marked for broadcast if its rows take at most ``most`` bytes; else as it is."""
+    return F.broadcast(df) if is_small(df, most) else df
+
+
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trimmed() -> None:
+    """Give memory that a task no longer needs back to the machine: a worker that is used
+    again doesn't keep the peak of its last task."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)

@@ -10,9 +10,13 @@ For every row and language, log probabilities are added up:
 - the host's prior, smoothed towards its domain's, and that towards all rows'.
 
 The last three are learned from all rows by grouped aggregation of what the text alone
-says: each task adds up its rows by key, then the sums meet by key. A row's own share
-is taken out again before it is judged. A row's text is read twice and never shuffled
-while the host table is small; its size is checked.
+says. A row's own share is taken out again before it is judged.
+
+A text is read once: its log likelihoods, a few numbers, are written with the row's keys,
+and all that follows is column expressions on these slim rows. Texts are never shuffled.
+A table of sums by key is broadcast if its bytes are few; else the ``hot`` keys with most
+rows are (a fixed number), and only rows of other keys meet the table by a join. So a
+host that a third of all rows have is never a join key.
 
 ``und`` competes as a language of uniform trigrams, so texts that fit no language are
 undetermined. A row is accepted if its best language is not ``und`` and its posterior
@@ -20,13 +24,15 @@ reaches ``confident``.
 
 Defined results: null and empty texts are judged by the other evidence alone. A missing
 or malformed declaration, address or host is no evidence (its key is empty). Rows with
-null or repeated ids are judged each. Without labelled rows every row is ``und``. An
-empty table gives an empty result. Other columns pass through unread.
+null or repeated ids are judged each. Without labelled rows every row is ``und``. The
+model knows the ``languages`` most frequent declared languages; rows of others get the
+most similar of these or ``und``, and a warning says so. An empty table gives an empty
+result. Columns that aren't named are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideq.llm.common import first_by_hash, hint_small, saved, table
-from strideq.llm.text_arrays import as_bytes, parts
+from strideq.llm.common import is_small, saved, table, trimmed
+from strideq.llm.text_arrays import as_bytes, first_by_hash, parts
 
 SLOTS = 1 << 16
 EVIDENCE = 60
@@ -61,9 +67,8 @@ _LETTER = _letters()
 
 def trigrams(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place and slot of every byte trigram that has a letter in its middle."""
-    m = _LETTER[buffer]
-    if len(m) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    m = np.full(len(buffer) + 2, 32, np.uint32)
+    m[1:-1] = _LETTER[buffer]
     at = np.flatnonzero(m[1:-1] != 32)
     key = (m[at] << np.uint32(16)) | (m[at + 1] << np.uint32(8)) | m[at + 2]
     with np.errstate(over="ignore"):
@@ -96,23 +101,18 @@ class Trigrams:
         return total * np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
 
 
-def posterior(log_p: np.ndarray) -> np.ndarray:
-    """Rows of probabilities from rows of log weights."""
-    e = np.exp(log_p - log_p.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-def fit(docs: DataFrame, language_col: str, most: int = 400, languages: int = 50) -> Trigrams:
+def fit(docs: DataFrame, language_col: str, most: int = 400, languages: int = 200) -> Trigrams:
     """Trigram models of the ``languages`` most frequent declared languages, from at most
-    ``most`` rows of each, the first by a hash of id and text, with whole texts."""
+    ``most`` rows of each, the first by a hash of id and text, with whole texts. Rows that
+    repeat id and text count once."""
     of = [c for c in ("doc_id", "text") if c in docs.columns]
-    d = docs.select(primary(F.col(language_col)).alias("y"), *of).filter("y <> '' and text is not null")
-    counts = d.groupBy("y").count().orderBy(F.desc("count"), "y").limit(languages).collect()
-    picked: dict[str, list[bytes]] = {}
-    for r in counts:
-        if r["y"] != UNDETERMINED:
-            rows = first_by_hash(d.filter(F.col("y") == r["y"]), most, r["count"], of).collect()
-            picked[r["y"]] = [x["text"].encode("utf-8", "surrogatepass") for x in rows]
+    d = docs.select(primary(F.col(language_col)).alias("y_"), *of).filter("y_ <> '' and text is not null")
+    names = [r[0] for r in d.groupBy("y_").count().orderBy(F.desc("count"), "y_").limit(languages + 2).collect() if r[0] != UNDETERMINED]
+    if len(names) > languages:
+        warnings.warn(f"more than {languages} declared languages: the model knows the most frequent ones", stacklevel=2)
+    picked: dict[str, list[bytes]] = {n: [] for n in names[:languages]}
+    for r in first_by_hash(d, "y_", dict.fromkeys(picked, most), of).collect() if picked else []:
+        picked[r["y_"]].append(r["text"].encode("utf-8", "surrogatepass"))
     return Trigrams(picked)
 
 
@@ -121,90 +121,86 @@ def primary(c: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(c.cast("string")), r"^\s*([a-z]{2,3})(?:[-_].*)?\s*$", 1), F.lit(""))
 
 
-def identify(rows: DataFrame, model: Trigrams, text: Column, declared: Column, suffix: Column, host: Column, domain: Column, confident: float = 0.6) -> DataFrame:
-    """``rows`` in a struct ``row``, with ``language``, ``probability`` and ``accepted``."""
-    spark = rows.sparkSession
-    n = len(model.languages)
-    sent = spark.sparkContext.broadcast(model)
-    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    keyed = rows.select(
-        F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"),
-        text.alias("text_"),
-        blank(declared).alias("declared_"),
-        blank(suffix).alias("suffix_"),
-        blank(host).alias("host_"),
-        blank(domain).alias("domain_"),
-    )
-    keys = ["declared_", "suffix_", "host_", "domain_"]
+def _shares(log_p: Column) -> Column:
+    """Probabilities from log weights."""
+    return _scaled(_let(log_p, lambda a: F.transform(a, lambda x: F.exp(x - F.array_max(a)))))
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = defaultdict(lambda: np.zeros(n))
 
-        def out() -> pa.RecordBatch:
-            own = list(sums)
-            batch = pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in own], pa.string()) for i in range(4)], pa.array([sums[k] for k in own], pa.list_(pa.float64()))], [*keys, "p"])
-            sums.clear()
-            return batch
+def _scaled(p: Column) -> Column:
+    """An array divided by its sum."""
+    return _let(p, lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda s, y: s + y)))
 
-        for batch in batches:
-            p = posterior(sent.value.log_likelihood(as_bytes(batch.column("text_"))))
-            for key, own in zip(zip(*[batch.column(k).to_pylist() for k in keys], strict=True), p, strict=True):
-                sums[key] += own
-            if len(sums) > 50_000:
-                yield out()
-        yield out()
-
-    schema = ", ".join(f"{k} string" for k in keys) + ", p array<double>"
-    by_key = keyed.select("text_", *keys).mapInArrow(add_up, schema)
-    each = [F.sum(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(n)]
-    by_key, _ = saved(by_key.groupBy(*keys).agg(*each), "evidence")
-    total = [F.sum(f"p{i}").alias(f"p{i}") for i in range(n)]
-
-    def sums_of(*on: str) -> DataFrame:
-        return by_key.groupBy(*on).agg(*total).select(*on, F.array(*[F.col(f"p{i}") for i in range(n)]).alias("n_" + on[0]))
 
-    everything = by_key.agg(*total).first()
-    overall = np.array([everything[i] or 0.0 for i in range(n)])
-    with_sums = keyed
-    for on in (["declared_"], ["suffix_"], ["domain_"], ["host_"]):
-        with_sums = with_sums.join(hint_small(saved(sums_of(*on), on[0])[0], 200_000), on, "left")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        names = np.array(m.languages)
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def identify(rows: DataFrame, model: Trigrams, text: Column, host: Column, declared: Column | None = None, suffix: Column | None = None, domain: Column | None = None, carry: dict[str, Column] | None = None, confident: float = 0.6, hot: int = 20_000) -> DataFrame:
+    """The columns of ``carry``, with ``language``, ``probability`` and ``accepted``, for
+    every row. Evidence that isn't given has no say."""
+    carry = carry or {}
+    n = len(model.languages)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("array<double>")
+    def likelihood(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            ll = m.log_likelihood(as_bytes(batch.column("text_")))
-            own = posterior(ll)
-
-            def others(name: str, batch=batch, own=own) -> np.ndarray:
-                found = batch.column("n_" + name)
-                return np.maximum(np.array(found.to_pylist(), float).reshape(-1, n) - own, 0)
-
-            every = np.maximum(overall - own, 0) + 1.0
-            share = every / every.sum(axis=1, keepdims=True)
-            log = ll
-            for name in ("declared_", "suffix_"):
-                given = np.array([bool(x) for x in batch.column(name).to_pylist()])
-                # P(value | language), up to what is the same for all languages.
-                log = log + given[:, None] * np.log((others(name) + STRENGTH * share) / every)
-            prior = others("domain_") + STRENGTH * share
-            prior /= prior.sum(axis=1, keepdims=True)
-            prior = others("host_") + STRENGTH * prior
-            p = posterior(log + np.log(prior / prior.sum(axis=1, keepdims=True)))
-            top = p.argmax(axis=1)
-            best = p[np.arange(len(p)), top]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(names[top].tolist(), pa.string()), pa.array(best), pa.array((best >= confident) & (top < n - 1))],
-                ["row", "language", "probability", "accepted"],
-            )
-
-    kind = keyed.schema["row"].dataType.simpleString()
-    return with_sums.mapInArrow(judge, f"row {kind}, language string, probability double, accepted boolean")
-
-
-def of_documents(docs: DataFrame, model: Trigrams) -> DataFrame:
+            out = [sent.value.log_likelihood(as_bytes(batch.slice(lo, 512))).ravel() for lo in range(0, len(batch), 512)]
+            flat = np.concatenate(out) if out else np.zeros(0)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n), pa.int32()), pa.array(flat))
+        trimmed()
+
+    of = {"declared_": declared, "suffix_": suffix, "domain_": domain, "host_": host}
+    keys = {k: F.coalesce(c.cast("string"), F.lit("")) for k, c in of.items() if c is not None}
+    own = rows.select(*[c.alias(f"c{i}_") for i, c in enumerate(carry.values())], *[c.alias(k) for k, c in keys.items()], text.alias("text_"))
+    slim = own.select(*[f"c{i}_" for i in range(len(carry))], *keys, likelihood("text_").alias("ll_")).withColumn("p_", _shares(F.col("ll_")))
+    slim, _ = saved(slim, "likelihood")
+
+    each = [F.sum(F.get("p_", F.lit(i))).alias(f"s{i}_") for i in range(n)]
+    by_key, _ = saved(slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_"), *each), "evidence")
+    total = [F.sum(f"s{i}_").alias(f"s{i}_") for i in range(n)]
+    everything = by_key.agg(*total).first()
+    overall = F.array(*[F.lit(everything[i] or 0.0) for i in range(n)])
+
+    met = slim
+    for k in keys:
+        sums = by_key.groupBy(k).agg(F.sum("rows_").alias("rows_"), *total).select(k, "rows_", F.array(*[F.col(f"s{i}_") for i in range(n)]).alias("n_" + k))
+        met = _meet(met, saved(sums, k)[0], k, "n_" + k, hot)
+
+    def others(k: str) -> Column:
+        return F.zip_with("n_" + k, "p_", lambda a, b: F.greatest(a - b, F.lit(0.0)))
+
+    met = met.withColumn("every_", F.zip_with(overall, "p_", lambda a, b: F.greatest(a - b, F.lit(0.0)) + 1.0))
+    met = met.withColumn("prior_", _scaled(F.col("every_")))
+    met = met.withColumn("log_", F.col("ll_"))
+    for k in [k for k in ("declared_", "suffix_") if k in keys]:
+        # P(value | language), up to what is the same for all languages.
+        given = F.zip_with(F.zip_with(others(k), "prior_", lambda a, b: a + STRENGTH * b), "every_", lambda a, b: F.log(a / b))
+        met = met.withColumn("log_", F.when(F.col(k) != "", F.zip_with("log_", given, lambda a, b: a + b)).otherwise(F.col("log_")))
+    for k in [k for k in ("domain_", "host_") if k in keys]:
+        met = met.withColumn("prior_", _scaled(F.zip_with(others(k), "prior_", lambda a, b: a + STRENGTH * b)))
+    met = met.withColumn("post_", _shares(F.zip_with("log_", "prior_", lambda a, b: a + F.log(b))))
+    met = met.withColumn("best_", F.array_max("post_")).withColumn("at_", F.array_position("post_", F.col("best_")).cast("int"))
+    names = F.array(*[F.lit(x) for x in model.languages])
+    accepted = (F.col("best_") >= confident) & (F.col("at_") < n)
+    return met.select(*[F.col(f"c{i}_").alias(c) for i, c in enumerate(carry)], F.element_at(names, F.col("at_")).alias("language"), F.col("best_").alias("probability"), accepted.alias("accepted"))
+
+
+def _meet(rows: DataFrame, sums: DataFrame, key: str, value: str, hot: int) -> DataFrame:
+    """Every row with its key's sums. Every row's key is in ``sums``."""
+    if is_small(sums):
+        return rows.join(F.broadcast(sums.drop("rows_")), key)
+    most = sums.orderBy(F.desc("rows_"), key).limit(hot).drop("rows_")
+    first = rows.join(F.broadcast(most), key, "left")
+    there = first.filter(F.col(value).isNotNull())
+    rest = first.filter(F.col(value).isNull()).drop(value).join(sums.drop("rows_"), key)
+    return there.unionByName(rest)
+
+
+def of_documents(docs: DataFrame, model: Trigrams, carry: dict[str, Column] | None = None) -> DataFrame:
     """Documents: the declared language is ``lang``, the host is ``source``."""
-    return identify(docs, model, F.col("text"), primary(F.col("lang")), F.lit(""), F.col("source"), F.lit(""))
+    return identify(docs, model, F.col("text"), F.col("source"), primary(F.col("lang")), carry=carry or {"doc_id": F.col("doc_id")})
 
 
 def of_pages(pages: DataFrame, model: Trigrams) -> DataFrame:
@@ -214,17 +210,31 @@ def of_pages(pages: DataFrame, model: Trigrams) -> DataFrame:
         pages,
         model,
         F.regexp_replace("html", _MARKUP, " "),
+        host,
         F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1)),
         F.regexp_extract(host, r"\.([a-z]{2,24})$", 1),
-        host,
         F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1),
+        {"page_id": F.col("page_id")},
     )
 
 
+def kept(docs: DataFrame, model: Trigrams) -> DataFrame:
+    """The documents whose language is accepted, with all their columns.
+
+    What goes is known by id and a hash of all that was judged; rows equal in these have
+    one verdict. Only the rejected rows' keys come back to the documents."""
+    key = F.xxhash64("text", "lang", "source")
+    judged = of_documents(docs, model, {"id_": F.col("doc_id"), "key_": key})
+    gone, _ = saved(judged.filter("not accepted").select(F.col("id_").alias("gone_id"), F.col("key_").alias("gone_key")).distinct(), "rejected")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id_"), key.alias("key_"))
+    gone = F.broadcast(gone) if is_small(gone) else gone
+    return marked.join(gone, F.col("id_").eqNullSafe(F.col("gone_id")) & (F.col("key_") == F.col("gone_key")), "left_anti").select("row.*")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and all pages with their language."""
     docs, pages = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), table(spark, sf_dir, "pages").select("page_id", "url", "html")
     model = fit(docs, "lang")
-    own = of_documents(docs, model).select(F.col("row.doc_id").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), "language", "probability", "accepted")
-    web = of_pages(pages, model).select(F.lit(None).cast("long").alias("doc_id"), F.col("row.page_id").alias("page_id"), "language", "probability", "accepted")
-    return own.unionByName(web)
+    own = of_documents(docs, model).withColumn("page_id", F.lit(None).cast("long"))
+    web = of_pages(pages, model).withColumn("doc_id", F.lit(None).cast("long"))
+    return own.unionByName(web).select("doc_id", "page_id", "language", "probability", "accepted")

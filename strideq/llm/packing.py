@@ -31,8 +31,9 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strideq.llm.common import hint_small, saved, table
+from strideq.llm.common import hint_small, saved, table, trimmed
 
 _CACHED = 300_000
 #: A space with white space beside it: only there can a token span words' borders.
@@ -76,6 +77,10 @@ class WordCache:
         get, new = self._of.get, self._word
         return self._plain(first) + b"".join([get(w) or new(w) for w in [" " + w for w in rest]])
 
+    def forget(self) -> None:
+        """Drop the kept words."""
+        self._of = {}
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids; the special token's own text is that token."""
         if self._special in text:
@@ -159,16 +164,18 @@ def pack(docs: DataFrame, ranks: str, special: str = "<|endoftext|>", special_id
     """Per piece: id, ``start``, ``length``, ``ids`` (binary, little-endian unsigned
     32-bit), ``doc_tokens``, ``sequence_id`` and ``offset``."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = d.schema["doc_id"].dataType.simpleString()
+    long = T.LongType()
+    names = {"start": long, "length": long, "ids": T.BinaryType(), "doc_tokens": long, "task": long, "task_rank": long}
+    schema = T.StructType([d.schema["doc_id"], *[T.StructField(k, v) for k, v in names.items()]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(ranks, special, special_id).encode, np.array([end_id], "<u4").tobytes()
+        coder, end = encoder(ranks, special, special_id), np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 of, start, length, ids, total, rank = [], [], [], [], [], []
                 for i, text in enumerate(batch.column("text").slice(lo, 256).to_pylist()):
-                    own = encode(text) + end
+                    own = coder.encode(text) + end
                     n = len(own) // 4
                     for at in range(0, n, window):
                         part = own[4 * at : 4 * (at + window)]
@@ -184,9 +191,11 @@ def pack(docs: DataFrame, ranks: str, special: str = "<|endoftext|>", special_id
                     [batch.column("doc_id").slice(lo, 256).take(pa.array(of, pa.int32())), *[pa.array(x, pa.int64()) for x in (start, length)], pa.array(ids, pa.binary()), pa.array(total, pa.int64()), pa.array([task] * len(of), pa.int64()), pa.array(rank, pa.int64())],
                     ["doc_id", "start", "length", "ids", "doc_tokens", "task", "task_rank"],
                 )
+        coder.forget()
+        trimmed()
 
     # Written once: ranks are those of the committed attempt of each task.
-    pieces, _ = saved(d.mapInArrow(cut, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, task bigint, task_rank bigint"), "pieces")
+    pieces, _ = saved(d.mapInArrow(cut, schema), "pieces")
     per_task, _ = saved(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "counts")
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``window`` rows
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -194,7 +203,7 @@ def pack(docs: DataFrame, ranks: str, special: str = "<|endoftext|>", special_id
     spark = d.sparkSession
     plan = spark.createDataFrame(best_fit_decreasing(counts, window), "length bigint, lo bigint, n bigint, each bigint, first bigint, at bigint")
     plan = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("lo", "n", "each", "first", "at"))).alias("runs"))
-    ranked = pieces.join(hint_small(base, 500_000), ["length", "task"]).withColumn("rank", F.col("base") + F.col("task_rank"))
+    ranked = pieces.join(hint_small(saved(base, "base")[0]), ["length", "task"]).withColumn("rank", F.col("base") + F.col("task_rank"))
     run = F.element_at(F.filter("runs", lambda r: (r["lo"] <= F.col("rank")) & (F.col("rank") < r["lo"] + r["n"])), 1)
     placed = ranked.join(F.broadcast(plan), "length").withColumn("run", run).withColumn("nth", F.col("rank") - F.col("run.lo"))
     return placed.select(

@@ -13,8 +13,8 @@ of the id, each with its whole text.
 
 Defined results: null and empty texts are one empty passage. Rows with null or repeated
 ids are scored each. Without training rows of both labels every score is 1. A text over
-a megabyte is read in parts cut at white space. An empty table gives an empty result.
-Other columns are not read.
+a megabyte is read in parts cut between passages, which are the same as if it were read
+whole. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideq.llm.common import fold, table
+from strideq.llm.common import fold, table, trimmed
 from strideq.llm.text_arrays import Adam, as_bytes, best_threshold, labelled_sample, parts, raw_words, words
 
 PASSAGE = 48
@@ -75,7 +75,8 @@ INPUTS = N_KINDS + 5
 def passages(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Inputs of every passage, and the text each belongs to (in order)."""
     found, of_text = [], []
-    for buffer, of, begin in parts(texts):
+    before = np.zeros(len(texts), np.int64)  # passages of a text in earlier pieces
+    for buffer, of, begin in parts(texts, PASSAGE, _WORD):
         start, end, h = words(buffer, _WORD)
         first = np.searchsorted(start, begin)  # of each piece's words
         sizes = np.diff(np.append(first, len(start)))
@@ -83,6 +84,8 @@ def passages(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         piece = np.repeat(np.arange(len(of)), n_passages)
         nth = np.arange(len(piece)) - np.repeat(np.cumsum(n_passages) - n_passages, n_passages)
         word = first[piece] + nth * PASSAGE
+        in_text = nth + before[of[piece]]
+        np.add.at(before, of, n_passages)
         # A passage begins with its first word; the first of a piece with the piece.
         at = np.where(nth == 0, begin[piece], start[np.minimum(word, max(len(start) - 1, 0))] if len(start) else 0)
         kind = _KIND[buffer]
@@ -106,7 +109,7 @@ def passages(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
             x[:, N_KINDS + 1] = np.bincount(p_of_word, again, len(piece)) / np.maximum(n_words, 1)
             x[:, N_KINDS + 2] = np.minimum(width / np.maximum(n_words, 1) / 10, 3)
         x[:, N_KINDS + 3] = n_words / PASSAGE
-        x[:, N_KINDS + 4] = np.log1p(nth) / 5
+        x[:, N_KINDS + 4] = np.log1p(in_text) / 5
         found.append(x)
         of_text.append(of[piece])
     return np.concatenate(found), np.concatenate(of_text)
@@ -193,18 +196,17 @@ def score(docs: DataFrame, labels: DataFrame, allowed: Column, decision: float =
     """All columns of ``docs`` in a struct ``row``, and the ``score`` of every row."""
     spark = docs.sparkSession
     net = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, allowed, decision, most or {0: 1500, 1: 1500}, epochs, rate)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     if net is None:
-        return row.withColumn("score", F.lit(1.0))
+        return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lit(1.0).alias("score"))
     sent = spark.sparkContext.broadcast(net)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            own = batch.column("row")
-            texts = own.field(own.type.get_field_index(text_col))
-            yield pa.RecordBatch.from_arrays([own, pa.array(sent.value.scores(as_bytes(texts)))], ["row", "score"])
+            yield pa.array(np.concatenate([np.zeros(0), *[sent.value.scores(as_bytes(batch.slice(lo, 512))) for lo in range(0, len(batch), 512)]]))
+        trimmed()
 
-    return row.mapInArrow(run, f"row {row.schema['row'].dataType.simpleString()}, score double")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), scored(F.col(f"`{text_col}`")).alias("score"))
 
 
 def op8_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideq.llm.common import first_by_hash
-
 PART = 1 << 20
 _P = 0x5851F42D4C957F2D
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -66,10 +64,28 @@ def spans(buffer: np.ndarray, table: np.ndarray, start: np.ndarray, end: np.ndar
     return h ^ (h >> np.uint64(29))
 
 
-def parts(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _cut(text: bytes, at: int, every: int, table: np.ndarray | None) -> int:
+    """Where the piece of a text from ``at`` on ends: at white space, or before a word
+    whose number from ``at`` on is a multiple of ``every``. A window without such a place
+    is widened, so no word is ever cut."""
+    size = PART
+    while at + size < len(text):
+        if every:
+            start = words(np.frombuffer(text, np.uint8, size, at), table)[0]
+            cut = int(start[(len(start) - 1) // every * every]) if len(start) > every else 0
+        else:
+            cut = max(text.rfind(c, at, at + size) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")) - at
+        if cut > 0:
+            return at + cut
+        size *= 2
+    return len(text)
+
+
+def parts(texts: list[bytes | None], every: int = 0, table: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Buffers of about a megabyte: bytes, and for each piece its text and its start.
 
-    A longer text is cut into pieces at white space, so memory stays bounded.
+    A longer text is cut into pieces at white space, so memory stays bounded; with
+    ``every``, into pieces of so many words of ``table``, or a multiple.
     """
     joined: list[bytes] = []
     of: list[int] = []
@@ -83,11 +99,7 @@ def parts(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         text = text or b""
         at = 0
         while True:
-            if len(text) - at > PART:
-                cut = max(text.rfind(b" ", at, at + PART), text.rfind(b"\n", at, at + PART))
-                cut = at + PART if cut <= at else cut
-            else:
-                cut = len(text)
+            cut = _cut(text, at, every, table)
             if joined and size + cut - at > PART:
                 yield out()
                 joined, of, size = [], [], 0
@@ -101,21 +113,97 @@ def parts(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield out()
 
 
+def first_by_hash(df: DataFrame, by: str, most: dict, of: list[str]) -> DataFrame:
+    """Of the rows with each value of ``by`` the first ``most[value]`` by a hash of the
+    columns ``of``, rows that are equal in these counting once; with ``by`` and ``of``.
+
+    Rows beyond about twice the share that is wanted are left out where they are read, so
+    that tasks together send a few times ``most`` rows on, however many there are.
+    """
+    h, mask = F.xxhash64(*[F.col(f"`{c}`") for c in of]), (1 << 52) - 1
+    df = df.select(by, *of, h.alias("h_"))
+    wanted = F.col(by).isin(list(most))
+    numbers = {r[0]: r[1] for r in df.filter(wanted).groupBy(by).agg(F.approx_count_distinct("h_", 0.02)).collect()}
+    share = F.lit(None).cast("long")
+    for value, n in numbers.items():
+        limit = mask if n <= 4 * most[value] else int((2 * most[value] + 50) / n * mask)
+        share = F.when(F.col(by) == value, F.lit(limit)).otherwise(share)
+    once = df.filter(wanted).filter(F.col("h_").bitwiseAND(F.lit(mask)) <= share).groupBy(by, "h_").agg(F.min(F.struct(*of)).alias("r_"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("h_"))
+    kept = once.withColumn("n_", place)
+    last = F.lit(0)
+    for value, n in most.items():
+        last = F.when(F.col(by) == value, n).otherwise(last)
+    return kept.filter(F.col("n_") <= last).select(by, *[F.col(f"r_.`{c}`") for c in of])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], train) -> list[tuple[bytes, int, int]]:
     """(text, label, total rows with that label) for at most ``most[label]`` labelled rows of
-    each label, by hash of the id; the whole text of each. ``train``: condition on doc_id."""
+    each label, by hash of the id; the whole text of each. ``train``: condition on doc_id.
+    An id with both labels has the larger; of several texts with one id the least is taken."""
     own = labels.select("doc_id", F.col(label).cast("int").alias("y")).dropna().filter(train)
     own = own.groupBy("doc_id").agg(F.max("y").alias("y"))
     totals = {r["y"]: r["n"] for r in own.filter(F.col("y").isin([0, 1])).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = None
-    for y, n in most.items():
-        part = first_by_hash(own.filter(F.col("y") == y), n, totals.get(y, 0), ["doc_id"])
-        picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y").collect()
+    picked = first_by_hash(own, "y", most, ["doc_id"])  # at most sum(most) rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"]))
     return [((r["text"] or "").encode("utf-8", "surrogatepass"), r["y"], totals[r["y"]]) for r in rows]
 
 
+def rows_by(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.RecordBatch | pa.Table]:
+    """The rows of each key, of batches sorted by whole-number key columns; one key's rows
+    are held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        own = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in key], axis=1)
+        edges = 1 + np.flatnonzero((own[1:] != own[:-1]).any(axis=1))
+        begin, end = np.append(0, edges), np.append(edges, n)
+        if held and (own[0] != last).any():
+            yield held[0] if len(held) == 1 else pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(begin[:-1], end[:-1], strict=True):
+            part = batch.slice(a, b - a)
+            yield pa.Table.from_batches([*held, part]) if held else part
+            held = []
+        held.append(batch.slice(begin[-1], end[-1] - begin[-1]))
+        last = own[-1]
+    if held:
+        yield held[0] if len(held) == 1 else pa.Table.from_batches(held)
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by whole-number key columns, cut so that a key's rows are together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        own = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in key], axis=1)
+        edges = np.flatnonzero((own[1:] != own[:-1]).any(axis=1))
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in key):
+            yield pa.concat_batches(held)
+            held = []
+        if len(edges):
+            cut = int(edges[-1]) + 1
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held, batch = [], batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(32))) * _C
+        h = (h ^ (h >> np.uint64(32))) * _C
+        return h ^ (h >> np.uint64(32))
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """Texts of an Arrow column as bytes."""
     return column.cast(pa.binary()).to_pylist()
