@@ -132,11 +132,9 @@ class Predicates:
 
     def adjacent(self, words: Column, run: list[str]) -> Column:
         """Whether these tokens are next to each other, in order. Tokens of the built-in
-        tokenizers have no spaces, so joined text says it."""
-        if callable(self.spec.tokenizer):
-            wanted = F.array(*[F.lit(w) for w in run])
-            return F.exists(F.transform(words, lambda x, i: F.slice(words, i + 1, F.lit(len(run)))), lambda part: part == wanted)
-        return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(" " + " ".join(run) + " "))
+        tokenizers have no spaces, and others no null character, so joined text says it."""
+        sep = "\0" if callable(self.spec.tokenizer) else " "
+        return F.contains(F.concat(F.lit(sep), F.array_join(words, sep), F.lit(sep)), F.lit(sep + sep.join(run) + sep))
 
     def _contains(self, name) -> Column:
         if isinstance(name, Anything):
