@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+from strideq.functions.romance_german import french, german, spanish
+
 _V = "aeiouy"
 #: Words with stems of their own, and words left as they are.
 _SPECIAL = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
@@ -96,4 +98,4 @@ def english(word: str) -> str:
     return w.replace("Y", "y")
 
 
-STEMMERS = {"english": english, "en": english}
+STEMMERS = {"english": english, "en": english, "german": german, "de": german, "french": french, "fr": french, "spanish": spanish, "es": spanish}

@@ -28,6 +28,21 @@ def test_stems(word, stem):
     assert english(word) == stem
 
 
+@pytest.mark.parametrize(
+    "language,pairs",
+    [
+        ("german", "aufeinander aufeinand|kategorischen kategor|häuser haus|kategorie kategori|aufgeblasen aufgeblas|verschiedenheit verschied|größe gross|bedürfnisse bedurfnis|spielst spiel"),
+        ("french", "continuation continu|continuellement continuel|majestueusement majestu|chevaux cheval|mangeait mang|nationalité national|finissons fin|heureuse heureux|quand quand|maintenant mainten|rapidement rapid"),
+        ("spanish", "chicas chic|torneos torne|cheques chequ|toreado tor|naciones nacion|rápidamente rapid|comprándoselo compr|lugares lugar|posibilidades posibil|paguen pag|cantábamos cant"),
+    ],
+)
+def test_stems_of_other_languages(language, pairs):
+    stem = T.stem_words(language)
+    for pair in pairs.split("|"):
+        word, want = pair.split()
+        assert stem(word) == want
+
+
 def test_text_modes(spark):
     rows = [(0, 1, "he keeps Running fast"), (1, 2, "a runner ran"), (2, 3, "run"), (3, 4, "xrunx is it?"), (4, 5, "is this it"), (5, 6, None)]
     df = spark.createDataFrame(rows, "position bigint, id int, text string")
