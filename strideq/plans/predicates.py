@@ -167,14 +167,16 @@ class Predicates:
         wanted = [[stem(w) for w in self.words(t, what)] for t in terms]
         if any(len(t) > 1 for t in wanted):
             return self._matching(self.stems, wanted, what)
-        # A word and its stem begin alike, so few words need stemming at all.
-        letters = sorted({x[0][0] for t in terms for x in [self.words(t, what)]} | {t[0][0] for t in wanted})
+        # An English word and its stem begin alike, so few words need stemming at all; other
+        # languages take accents away.
+        letters = sorted({t[0][0] for t in wanted}) if self.spec.language.lower() in ("english", "en") else None
 
         def likely(field: str) -> Column:
             own = self.index(field, "stems")
             if own is not None:
                 return own
-            return T.stems(F.array_distinct(F.filter(self.tokens(field), lambda w: F.substring(w, 1, 1).isin(letters))), self.spec.language)
+            words = self.tokens(field)
+            return T.stems(F.array_distinct(F.filter(words, lambda w: F.substring(w, 1, 1).isin(letters)) if letters else words), self.spec.language)
 
         return self._matching(likely, wanted, what)
 
