@@ -77,10 +77,6 @@ class WordCache:
         get, new = self._of.get, self._word
         return self._plain(first) + b"".join([get(w) or new(w) for w in [" " + w for w in rest]])
 
-    def forget(self) -> None:
-        """Drop the kept words."""
-        self._of = {}
-
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids; the special token's own text is that token."""
         if self._special in text:
@@ -90,7 +86,7 @@ class WordCache:
 
 @lru_cache(maxsize=2)
 def encoder(ranks_path: str, special: str, special_id: int) -> WordCache:
-    """One encoder per worker and file."""
+    """One encoder per task and file."""
     return WordCache(ranks_path, special, special_id)
 
 
@@ -191,7 +187,8 @@ def pack(docs: DataFrame, ranks: str, special: str = "<|endoftext|>", special_id
                     [batch.column("doc_id").slice(lo, 256).take(pa.array(of, pa.int32())), *[pa.array(x, pa.int64()) for x in (start, length)], pa.array(ids, pa.binary()), pa.array(total, pa.int64()), pa.array([task] * len(of), pa.int64()), pa.array(rank, pa.int64())],
                     ["doc_id", "start", "length", "ids", "doc_tokens", "task", "task_rank"],
                 )
-        coder.forget()
+        encoder.cache_clear()  # its tables and words are some hundred megabytes
+        del coder
         trimmed()
 
     # Written once: ranks are those of the committed attempt of each task.
