@@ -45,9 +45,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideq.llm.common import hint_small, remove, saved, table, trimmed
+from strideq.llm.common import hint_small, remove, saved, table
 from strideq.llm.graph import components
-from strideq.llm.text_arrays import as_bytes, mixed, parts, raw_words, rows_by, words
+from strideq.llm.text_arrays import as_bytes, finished, mixed, parts, raw_words, rows_by, words
 
 _WORD = raw_words()
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -142,7 +142,7 @@ def join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: floa
                     [part.column("doc_id"), part.column("text_key"), pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
                     ["doc_id", "text_key", "sig", "n", "sketch", "paths"],
                 )
-        trimmed()
+        finished()
 
     rows, _ = saved(d.mapInArrow(scan, schema), "scan")
     lone = rows.filter("sig is null")
@@ -178,7 +178,7 @@ def join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: floa
                         at.append(np.full(len(kids), i))
                         found.append(kids.view(np.int64))
                     yield pa.RecordBatch.from_arrays([part.column("sig").take(pa.array(np.concatenate(at))), pa.array(np.concatenate(found))], ["sig", "node"])
-            trimmed()
+            finished()
 
         placed, more = _buckets(sets.select("sig", "set").join(hint_small(nodes), "sig").mapInArrow(split, "sig binary, node bigint"))
         spent += more
@@ -250,7 +250,7 @@ def _candidates(members: DataFrame, contents: DataFrame, threshold: float) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-        trimmed()
+        finished()
 
     return m.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a binary, b binary").distinct()
 
@@ -296,7 +296,7 @@ def _sets_of(d: DataFrame, contents: DataFrame, shingle: int) -> DataFrame:
                         n.append(len(s))
                         raw.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], ["sig", "n", "set"])
-        trimmed()
+        finished()
 
     sets, path = saved(met.mapInArrow(run, "sig binary, n bigint, set binary"), "sets")
     if sets.count() == sets.select("sig").distinct().count():
@@ -351,7 +351,7 @@ def _verify(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             alone = rows.column("next")[0].as_py() == 0 and rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
             if sides[0] and (alone or sides[1]):
                 yield _block(sides[0], sides[0] if alone else sides[1], t)
-        trimmed()
+        finished()
 
     out, _ = saved(met.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "sig binary, links bigint, other binary"), "compared")
     for path in (sized_at, shape_at, blocks_at):

@@ -223,7 +223,7 @@ def kept(docs: DataFrame, model: Trigrams) -> DataFrame:
 
     What goes is known by id and a hash of all that was judged; rows equal in these have
     one verdict. Only the rejected rows' keys come back to the documents."""
-    key = F.xxhash64("text", "lang", "source")
+    key = F.xxhash64("text", F.lit(1), "lang", F.lit(2), "source")  # a null leaves no trace, so places are marked
     judged = of_documents(docs, model, {"id_": F.col("doc_id"), "key_": key})
     gone, _ = saved(judged.filter("not accepted").select(F.col("id_").alias("gone_id"), F.col("key_").alias("gone_key")).distinct(), "rejected")
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id_"), key.alias("key_"))

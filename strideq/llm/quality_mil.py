@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideq.llm.common import fold, table, trimmed
-from strideq.llm.text_arrays import Adam, as_bytes, best_threshold, labelled_sample, parts, raw_words, words
+from strideq.llm.common import fold, table
+from strideq.llm.text_arrays import Adam, as_bytes, best_threshold, finished, labelled_sample, parts, raw_words, words
 
 PASSAGE = 48
 HIDDEN = 16
@@ -204,7 +204,7 @@ def score(docs: DataFrame, labels: DataFrame, allowed: Column, decision: float =
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array(np.concatenate([np.zeros(0), *[sent.value.scores(as_bytes(batch.slice(lo, 512))) for lo in range(0, len(batch), 512)]]))
-        trimmed()
+        finished()
 
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), scored(F.col(f"`{text_col}`")).alias("score"))
 

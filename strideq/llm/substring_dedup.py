@@ -33,8 +33,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideq.llm.common import hint_small, remove, saved, table, trimmed
-from strideq.llm.text_arrays import mixed, powers, whole_keys
+from strideq.llm.common import hint_small, remove, saved, table
+from strideq.llm.text_arrays import finished, mixed, powers, whole_keys
 
 LONG = 24
 _BORDER = re.compile(r"\n\s*|(?<=[.!?])\s+")
@@ -118,7 +118,7 @@ def dedup(docs: DataFrame, run: int = 2, words: int = 20, id_col: str = "doc_id"
                     [pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), part.column("id_").take(at), part.column("key_").take(at), *[pa.array(np.concatenate(x).astype(np.int32)) for x in (first, last)]],
                     ["h0", "h1", "id_", "key_", "first", "last"],
                 )
-        trimmed()
+        finished()
 
     h = ["h0", "h1"]
     found, found_at = saved(light.mapInArrow(spans, schema), "spans")
@@ -164,7 +164,7 @@ def dedup(docs: DataFrame, run: int = 2, words: int = 20, id_col: str = "doc_id"
                     found.append({"clean_text": clean, "removed": [{"start": a, "end": b} for a, b in gone]})
                 out.append(pa.array(found, kind))
             yield pa.concat_arrays(out) if out else pa.array([], kind)
-        trimmed()
+        finished()
 
     # Only texts that lose something go through Python.
     whole = met.filter("runs_ is null").select("row", F.col("text_").alias("clean_text"), F.array().cast("array<struct<start: int, end: int>>").alias("removed"))
@@ -213,7 +213,7 @@ def _chains(again: DataFrame) -> DataFrame:
             at = pa.array(take[begin])
             lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(doc)), pa.int32()), pa.StructArray.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(first), pa.array(last)], ["h0", "h1", "first", "last"]))
             yield pa.RecordBatch.from_arrays([rows.column("id_").take(at), rows.column("key_").take(at), pa.array(start), pa.array(np.maximum.reduceat(last, begin)), pa.array(hashes[0]), pa.array(hashes[1]), lists], [f.name for f in schema])
-        trimmed()
+        finished()
 
     return rows.mapInArrow(run, schema)
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideq.llm.common import trimmed
+
 PART = 1 << 20
 _P = 0x5851F42D4C957F2D
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -46,6 +48,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables(max(n, PART))
 
 
+def finished() -> None:
+    """At the end of a task: drop the tables of powers and give memory back."""
+    _powers.clear()
+    trimmed()
+
+
 def words(buffer: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of every word in a byte buffer."""
     edge = np.diff(np.concatenate([[0], (table[buffer] > 0).view(np.int8), [0]]).astype(np.int8))

@@ -9,8 +9,9 @@ Segments at the front are short, since the first axes hold most.
 
 Queries meet all rows in blocks, coarse to fine. Every query begins with a floor, its k-th
 score within the sample, so even the first block is pruned: a pair whose bound is below
-the floor goes at each resolution. A resolution looks only at pairs that are left, pair by
-pair where they are few; those left at the end are scored exactly, in whole numbers.
+the floor goes at each resolution. A resolution that rules out little of a sample of pairs
+is passed over in that block; where few pairs are left it looks at these one by one. Those
+left at the end are scored exactly, in whole numbers.
 
 Components are ``floor(scale * x)``. Products are summed in doubles where these are exact,
 in 64-bit integers beyond, and in Python's beyond these. Scores outside the range of a
@@ -101,23 +102,11 @@ def _pairwise(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.
     return out
 
 
-def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The same. A matrix product does a pair some thirty times as fast as one by one, so
-    it is taken, of the rows that are left, if at least that share of pairs is."""
-    if 32 * len(i) < len(a) * len(b):
-        return _pairwise(a, b, i, j)
-    at_a, to_a = np.unique(i, return_inverse=True)
-    at_b, to_b = np.unique(j, return_inverse=True)
-    if 32 * len(i) < len(at_a) * len(at_b):
-        return _pairwise(a, b, i, j)
-    return (a[at_a] @ b[at_b].T)[to_a, to_b]
-
-
 def exact(q: Side, r: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whole-number inner products of the pairs, cut to the range of a long."""
     size = q.norm[i] * r.norm[j]
     if not len(i) or size.max() < 2.0**53:
-        return _products(q.v, r.v, i, j).astype(np.int64)
+        return _pairwise(q.v, r.v, i, j).astype(np.int64)
     out = np.empty(len(i), np.int64)
     small, mid = size < 2.0**53, (size >= 2.0**53) & (size < 2.0**62)
     out[small] = _pairwise(q.v, r.v, i[small], j[small]).astype(np.int64)
@@ -132,25 +121,46 @@ def exact(q: Side, r: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def _helps(bound: np.ndarray, least: np.ndarray, alive: np.ndarray) -> bool:
+    """Whether a resolution rules out a fair share of a sample of the pairs that are left;
+    one that doesn't costs more than it saves."""
+    n = alive.sum()
+    return bool(n) and (alive & ~(bound < least)).sum() < 0.7 * n
+
+
 def best_in_block(q: Side, q_ids: np.ndarray, r: Side, ids: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray], floor: np.ndarray, seen: Counter | None = None) -> None:
     """Merge a block of rows into each query's best scores and ids (padded with the least
     long and the greatest id). ``floor``: what the k-th score is known to reach."""
     scores, kept = best
     least = np.maximum(scores[:, -1], floor)
     least = np.where(least <= _LOW + 1, -np.inf, least.astype(float))  # nothing is below a cut score
+    alive = ids[None, :] != q_ids[:, None]
+    i = j = None
     with np.errstate(over="ignore", invalid="ignore"):
         slack = _SLACK * q.norm[:, None] * r.norm[None, :]
-        bound = q.levels[0] @ r.levels[0].T
-        i, j = np.nonzero(~(bound + slack < least[:, None]) & (ids[None, :] != q_ids[:, None]))
-        for a, b in zip(q.levels[1:], r.levels[1:], strict=True):
-            stays = ~(_products(a, b, i, j) + slack[i, j] < least[i])
-            i, j = i[stays], j[stays]
+        for a, b in zip(q.levels, r.levels, strict=True):
+            if i is not None:
+                stays = ~(_pairwise(a, b, i, j) + slack[i, j] < least[i])
+                i, j = i[stays], j[stays]
+            elif _helps(a[::16] @ b[::4].T + slack[::16, ::4], least[::16, None], alive[::16, ::4]):
+                alive &= ~(a @ b.T + slack < least[:, None])
+                if 32 * alive.sum() < alive.size:
+                    i, j = np.nonzero(alive)
+    # A product of all is as fast as one of a thirtieth of the pairs, where doubles are exact.
+    if i is None and q.norm.max(initial=0) * r.norm.max(initial=0) < 2.0**53:
+        found = (q.v @ r.v.T).astype(np.int64)
+        n = int(alive.sum())
+        i, j = np.nonzero(alive & (found >= np.maximum(scores[:, -1], floor)[:, None]))
+        found = found[i, j]
+    else:
+        i, j = (i, j) if i is not None else np.nonzero(alive)
+        n = len(i)
+        found = exact(q, r, i, j)
+        hit = found >= np.maximum(scores[i, -1], floor[i])
+        i, j, found = i[hit], j[hit], found[hit]
     if seen is not None:
         seen["pairs"] += len(q_ids) * len(ids)
-        seen["scored"] += len(i)
-    found = exact(q, r, i, j)
-    hit = found >= np.maximum(scores[i, -1], floor[i])
-    i, j, found = i[hit], j[hit], found[hit]
+        seen["scored"] += n
     if not len(i):
         return
     own = np.unique(i)
