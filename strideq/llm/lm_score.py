@@ -7,16 +7,17 @@ probability of the text is the sum over all ways through its lattice, by the for
 recursion in log space. No piece reaches across words, so the sum over a text is the
 product of the sums over its words, and each distinct word is solved once.
 
-Weights: piece weights start from the vocabulary's own scores (log probabilities, or
-merge ranks, read by Zipf's law) and are fitted to the distinct training words by
-expectation over all segmentations. Whole words have their relative frequency. The
-share of the pieces is the share of words met once (Good and Turing), so all outcomes
-together have probability one.
+Weights: piece weights are the vocabulary's own scores (log probabilities, or merge ranks,
+read by Zipf's law). With ``rounds`` over 0 they are then fitted to the distinct training
+words by expectation over all segmentations. With ``whole_words`` words of the training
+texts are edges too, with their relative frequency; the share of the pieces is then the
+share of words met once (Good and Turing), so all outcomes together have probability one.
 
 Counts cover all training texts: every task counts its own words, and the counts are
 added up by word. Scoring looks words up in two ways: the ``hot_words`` most frequent
-ones, a fixed number, are sent to every task; all others meet the word table by a join
-on the word. So a word that a third of all rows hold is never a join key.
+ones of all texts, a fixed number, are sent to every task, be they training words or not;
+all others meet the word table by a join on the word. So a word that a third of all rows
+hold is never a join key.
 
 Defined results: a null text is an empty one and has one token, the end. Rows with
 null or repeated ids are scored each (a null id's fold is that of the empty text).
@@ -35,8 +36,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strideq.llm.common import fold, saved, table
+from strideq.llm.common import fold, saved, table, trimmed
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3)
@@ -169,28 +171,33 @@ def _flat(column: pa.Array) -> list[bytes | None]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word and its count ``c`` in rows with ``train``; other rows' words count 0."""
+    """word, its count ``c`` in rows with ``train``, and ``rows_``, its count in all
+    rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
-        others: set[bytes] = set()
+        others: Counter[bytes] = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
-            for words, c in ((list(counts), list(counts.values())), (list(others - counts.keys()), None)):
+            for found, is_train in ((counts, True), (others, False)):
+                words, n = list(found), list(found.values())
                 for lo in range(0, len(words), 50_000):
-                    part = words[lo : lo + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(c[lo : lo + 50_000] if c else [0] * len(part), pa.int64())], ["word", "c"])
+                    own = pa.array(n[lo : lo + 50_000], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(words[lo : lo + 50_000], pa.binary()), own if is_train else pa.array([0] * len(own), pa.int64()), own], ["word", "c", "rows_"])
             counts.clear()
             others.clear()
 
         for batch in batches:
-            for text, train in zip(_flat(batch.column("text")), batch.column("train").to_pylist(), strict=True):
-                (counts if train else others).update(_tokens(text))
-            if len(counts) + len(others) > 600_000:
-                yield from out()
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                for text, train in zip(_flat(part.column("text")), part.column("train").to_pylist(), strict=True):
+                    (counts if train else others).update(_tokens(text))
+                if len(counts) + len(others) > 400_000:
+                    yield from out()
         yield from out()
+        trimmed()
 
-    return docs.select("text", "train").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text", "train").mapInArrow(run, "word binary, c bigint, rows_ bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("rows_").alias("rows_"))
 
 
 def fit_pieces(words: DataFrame, pieces: list[bytes], log_p: np.ndarray, rounds: int, prior: float) -> np.ndarray:
@@ -218,12 +225,14 @@ def fit_pieces(words: DataFrame, pieces: list[bytes], log_p: np.ndarray, rounds:
     return log_p
 
 
-def score(docs: DataFrame, vocabulary_path: str, train: Column, rounds: int = 2, prior: float = 1000.0, hot_words: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocabulary_path: str, train: Column, rounds: int = 2, prior: float = 1000.0, whole_words: bool = True, hot_words: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``trained`` (the value of ``train``), n_tokens, n_known, train_tokens,
     base_score and score (log10) of every row."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), train.alias("train"))
-    kind = d.schema["doc_id"].dataType.simpleString()
+    long, double = T.LongType(), T.DoubleType()
+    fields = {"train": T.BooleanType(), "n_tokens": long, "known": long, "base": double, "score": double, "cold": T.ArrayType(T.BinaryType())}
+    schema = T.StructType([T.StructField("row", long), d.schema["doc_id"], *[T.StructField(k, v) for k, v in fields.items()]])
     counts, counts_at = saved(count_words(d), "words")
     ends = d.filter("train").select(F.count(F.lit(1))).first()[0]
     t = counts.agg(F.sum("c"), F.sum(F.when(F.col("c") > 0, 1)), F.sum(F.when(F.col("c") == 1, 1))).first()
@@ -232,7 +241,7 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, rounds: int = 2,
     pieces, log_p = vocabulary(vocabulary_path)
     log_p = fit_pieces(counts.filter("c > 0"), pieces, log_p, rounds, prior)
 
-    share = min(max(t[2] or 0, 1) / n, 0.5) if n else 1.0  # of the pieces
+    share = min(max(t[2] or 0, 1) / n, 0.5) if n and whole_words else 1.0  # of the pieces
     ending = (ends + 1) / (n + 2)
     log10 = math.log(10)
     sent = spark.sparkContext.broadcast((pieces, log_p))
@@ -244,17 +253,19 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, rounds: int = 2,
             by_pieces = lattice.log_prob(batch.column("word").to_pylist()) + math.log(share * (1 - ending))
             with np.errstate(divide="ignore"):
                 whole = np.log((1 - share) * c / max(n, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(np.logaddexp(by_pieces, whole) / log10)], ["word", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("rows_"), pa.array((np.logaddexp(by_pieces, whole) if whole_words else by_pieces) / log10)], ["word", "c", "rows_", "lp"])
+        trimmed()
 
-    words, _ = saved(counts.mapInArrow(solve, "word binary, c bigint, lp double"), "solved")
-    hot = words.filter("c > 0").orderBy(F.desc("c"), "word").limit(hot_words).toArrow()
+    words, _ = saved(counts.mapInArrow(solve, "word binary, c bigint, rows_ bigint, lp double"), "solved")
+    hot = words.orderBy(F.desc("rows_"), "word").limit(hot_words).toArrow()
     hot = spark.sparkContext.broadcast((hot.column("word").to_pylist(), hot.column("c").to_numpy(), hot.column("lp").to_numpy()))
     rest = n + v + 1.0
-    end = (math.log10((ends + 1) / rest), math.log10((1 - share) * ends / max(n, 1) + share * ending))
+    end = (math.log10((ends + 1) / rest), math.log10(((1 - share) * ends / max(n, 1) if whole_words else 0.0) + share * ending))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, c, lp = hot.value
         place = {w: i for i, w in enumerate(names)}.get
+        known_ = np.append(c > 0, False)
         base = np.append(np.log10((c + 1) / rest), 0.0)
         lp = np.append(lp, 0.0)
         row = TaskContext.get().partitionId() << 33
@@ -267,7 +278,7 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, rounds: int = 2,
                     new = np.flatnonzero(at < 0)
                     cold.append([words_[i] for i in new])
                     size.append(len(words_) + 1)
-                    known.append(len(words_) - len(new) + (ends > 0))
+                    known.append(int(known_[at].sum()) + (ends > 0))
                     s0.append(base[at].sum() + end[0])
                     s1.append(lp[at].sum() + end[1])
                 rows = np.arange(row, row + len(size))
@@ -276,9 +287,10 @@ def score(docs: DataFrame, vocabulary_path: str, train: Column, rounds: int = 2,
                     [pa.array(rows), part.column("doc_id"), part.column("train"), *[pa.array(x, pa.int64()) for x in (size, known)], *[pa.array(x, pa.float64()) for x in (s0, s1)], pa.array(cold, pa.list_(pa.binary()))],
                     ["row", "doc_id", "train", "n_tokens", "known", "base", "score", "cold"],
                 )
+        trimmed()
 
     # Written once: row numbers are those of the committed attempt of each task.
-    rows, _ = saved(d.mapInArrow(look_up, f"row bigint, doc_id {kind}, train boolean, n_tokens bigint, known bigint, base double, score double, cold array<binary>"), "rows")
+    rows, _ = saved(d.mapInArrow(look_up, schema), "rows")
     met = rows.select("row", F.explode("cold").alias("word")).join(words, "word")
     more = met.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("k"),
