@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tests.llm.test_llm import DOCS, SF, brute_classes, edges, prose  # noqa: F401
+from strideq.llm import language_id, quality_mil
+from strideq.llm.common import fold
+from tests.llm.test_llm import SF, brute_classes, brute_dedup, edges  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -24,10 +26,21 @@ def test_stages(steps):
     columns = steps["documents"].columns
     for n in names[:-1]:
         assert steps[n].columns == columns
-    before = {r["doc_id"]: r["text"] for r in steps["quality"].collect()}
+    texts = lambda name: {r["doc_id"]: r["text"] for r in steps[name].collect()}
+    # Language: what is accepted stays, unchanged.
+    docs, model = steps["documents"], language_id.fit(steps["documents"], "lang")
+    accepted = {r["doc_id"] for r in language_id.of_documents(docs, model).filter("accepted").collect()}
+    assert texts("language") == {i: t for i, t in texts("documents").items() if i in accepted} and accepted
+    # Quality: by the same network, text by text.
+    net = quality_mil.train(steps["language"], steps["language"].sparkSession.read.parquet(f"{SF}/labels.parquet"), fold("doc_id", 5) != 0, 0.3, {0: 1500, 1: 1500}, 30, 0.005)
+    assert texts("quality") == {i: t for i, t in texts("language").items() if net.scores([t.encode()])[0] >= 0.3}
+    before = texts("quality")
     classes = brute_classes(before.items())
     kept = {r["doc_id"] for r in steps["near_duplicates"].collect()}
     assert kept == {i for i in before if classes[i][0] == i}
+    clean = brute_dedup(sorted(texts("near_duplicates").items()))
+    gone = {i for i, t in texts("near_duplicates").items() if clean[i] != t and not clean[i].strip()}
+    assert texts("substrings") == {i: t for i, t in clean.items() if i not in gone}
     assert steps["substrings"].filter("n_chars <> length(text)").count() == 0
     packed = steps["packing"].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in steps["substrings"].collect()} and all(r["n"] == r["m"] for r in packed)
@@ -40,9 +53,24 @@ def test_run_is_its_stages(spark, steps):
 
 
 def test_edges(spark, edges):  # noqa: F811
+    """Nulls, empty and long texts, repeats, clashing names; and empty tables."""
+    n = edges.count()
     for name, stage in P.STAGES:
-        for df in (edges, edges.limit(0)):
-            out = stage(spark, df, SF)
-            assert out.count() >= 0
-            if name != "packing":
-                assert out.columns == df.columns
+        none = stage(spark, edges.limit(0), SF)
+        assert none.count() == 0
+        out = stage(spark, edges, SF)
+        rows = out.collect()
+        if name == "packing":
+            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in edges.collect()}
+            assert sum(r["length"] for r in rows if r["start"] == 0 and r["doc_id"] in (0, 1)) == 2
+            continue
+        assert none.columns == out.columns == edges.columns and 0 < len(rows) <= n
+        same = [tuple(r) for r in edges.collect()]
+        if name != "substrings":
+            assert all(tuple(r) in same for r in rows)
+        if name == "near_duplicates":
+            ids = [r["doc_id"] for r in rows]
+            assert 6 not in ids and 7 not in ids and {0, 1, 2, 3, 5} <= set(ids)
+        if name == "substrings":
+            got = {r["doc_id"]: r["text"] for r in rows}
+            assert got[0] is None and got[1] == "" and got[5] == dict((r["doc_id"], r["text"]) for r in edges.collect())[5]
