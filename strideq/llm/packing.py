@@ -35,7 +35,8 @@ from pyspark.sql import types as T
 
 from strideq.llm.common import hint_small, saved, table, trimmed
 
-_CACHED = 300_000
+#: Words kept in each of two generations.
+_CACHED = 100_000
 #: A space with white space beside it: only there can a token span words' borders.
 _ODD_SPACE = re.compile(r"^\s| \s|\s | $")
 _PLAIN = re.compile(r"[\n\x20-\x7E\xA1-ʯ]*")
@@ -46,6 +47,7 @@ class WordCache:
 
     A single space between other characters always begins a token, so a text is the
     sequence of its words, each with the space before it, and equal words have equal ids.
+    Full generations follow each other; a word that is met again moves to the young one.
     """
 
     def __init__(self, ranks_path: str, special: str, special_id: int):
@@ -56,15 +58,16 @@ class WordCache:
         self._bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._special, self._special_id = special, np.array([special_id], "<u4").tobytes()
         self._of: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        ids = self._plain(word)
+        ids = self._old.pop(word, None) or self._plain(word)
         if len(word) < 60:
             if len(self._of) >= _CACHED:
-                self._of.clear()
+                self._old, self._of = self._of, {}
             self._of[word] = ids
         return ids
 

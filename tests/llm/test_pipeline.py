@@ -1,11 +1,13 @@
 """The pipeline: every stage against what it should keep, and the whole."""
 
+import pyarrow as pa
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from strideq.llm import language_id, quality_mil
-from strideq.llm.common import fold
+from strideq.llm import language_id, packing, quality_mil
+from strideq.llm.common import BATCH, fold, saved
 from tests.llm.test_llm import SF, brute_classes, brute_dedup, edges  # noqa: F401
 
 
@@ -74,3 +76,30 @@ def test_edges(spark, edges):  # noqa: F811
         if name == "substrings":
             got = {r["doc_id"]: r["text"] for r in rows}
             assert got[0] is None and got[1] == "" and got[5] == dict((r["doc_id"], r["text"]) for r in edges.collect())[5]
+
+
+def test_batches_of_texts_are_bounded_in_bytes(spark):
+    """Python gets texts a few megabytes at a time, however many rows a batch may have."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["size", "n"])
+
+    got = saved(docs.mapInArrow(sizes, "size bigint, n bigint"), "sizes")[0].collect()
+    assert sum(r["n"] for r in got) == 4000 and max(r["size"] for r in got) <= 1.5 * BATCH
+    assert spark.conf.get(key) == before
+
+
+def test_words_kept_are_bounded(monkeypatch):
+    """Generations of words: ids stay the same, words that come again stay known."""
+    coder = packing.WordCache(public_tokenizers.path("byte_bpe_50k.tiktoken"), "<|endoftext|>", 50256)
+    monkeypatch.setattr(packing, "_CACHED", 50)
+    asked = []
+    monkeypatch.setattr(coder, "_plain", lambda t, own=coder._plain: asked.append(t) or own(t))
+    for i in range(400):
+        text = f"a common w{i}"
+        assert coder.encode(text) == packing.np.array(coder._bpe.encode_ordinary(text), "<u4").tobytes()
+    assert asked.count(" common") == 1 and len(coder._of) + len(coder._old) <= 100
