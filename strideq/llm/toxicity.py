@@ -11,11 +11,14 @@ Embeddings start from how much more often the training texts with label 1 hold t
 The decision threshold is calibrated by language: a guess from function words in the text
 itself picks the language, and the language's threshold, shrunk towards the common one by
 how few labelled rows it has, is moved to ``decision``. Thresholds are found by
-cross-fitting: each part of the training sample is judged by a network fitted to the rest. Labels, declared language, source and id of a row
-are no inputs of its score.
+cross-fitting: each part of the training rows is judged by a network fitted to the rest.
+Labels, declared language, source and id of a row are no inputs of its score.
 
-The model is fitted to a bounded sample: at most ``most`` rows of each label, the first
-by a hash of the id, each with its whole text.
+Counts, networks and thresholds are of all labelled rows, each with its whole text. An id
+with both labels has the larger; of several texts with one id the least is taken. The
+rows go to files in the driver's temporary folder, one by one, and minibatches are read
+from there: its disk and time grow with the labelled rows, its memory by some numbers and
+the id of each.
 
 Defined results: null and empty texts get the score of a text without words. Rows with
 null or repeated ids are scored each. Without training rows of both labels every score
@@ -25,16 +28,18 @@ other. An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideq.llm.common import fold, table
-from strideq.llm.text_arrays import PART, Adam, as_bytes, best_threshold, finished, labelled_sample, lower_words, parts, spans, words
+from strideq.llm.common import fold, hint_small, remove, saved, table
+from strideq.llm.text_arrays import PART, Adam, as_bytes, best_threshold, finished, lower_words, parts, spans, words
 
 SLOTS = 1 << 17
 DIM = 4
@@ -72,6 +77,42 @@ def _language_of_hash() -> tuple[np.ndarray, np.ndarray]:
     return keys, np.array([found[int(k)] for k in keys])
 
 
+class Stored:
+    """Byte strings of any number in a file, read by place; ``of`` picks and orders them."""
+
+    def __init__(self, path: Path):
+        self._path, self._out, self._end = path, path.open("wb"), [0]
+        self.of = np.zeros(0, np.int64)
+
+    def add(self, value: bytes) -> None:
+        self._out.write(value)
+        self._end.append(self._end[-1] + len(value))
+
+    def done(self, order: np.ndarray) -> Stored:
+        """Ready to be read, in this order."""
+        self._out.close()
+        self._end, self.of = np.array(self._end), order
+        self._in = np.memmap(self._path, np.uint8, "r") if self._end[-1] else np.zeros(0, np.uint8)
+        return self
+
+    def part(self, on: np.ndarray) -> Stored:
+        """Those numbered ``on``."""
+        out = object.__new__(type(self))
+        out.__dict__ = self.__dict__ | {"of": self.of[on]}
+        return out
+
+    def __len__(self) -> int:
+        return len(self.of)
+
+    def raw(self, i: int) -> bytes:
+        at = self.of[i]
+        return self._in[self._end[at] : self._end[at + 1]].tobytes()
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        """The slots of a text."""
+        return np.frombuffer(self.raw(i), np.int32).reshape(TABLES, -1)
+
+
 class Cnn:
     """The network; ``p`` holds its weights."""
 
@@ -142,11 +183,12 @@ class Cnn:
                     most[i, k] = np.maximum(most[i, k], self.convolved(x, w).max(axis=0))
         return np.sort(most, axis=1)[:, ::-1][:, :KEPT].transpose(1, 0, 2).ravel()
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int, rate: float, seed: int = 11) -> None:
-        """Minibatch training; ``docs`` are slot arrays."""
+    def fit(self, docs: Stored, y: np.ndarray, weight: np.ndarray, epochs: int, rate: float, seed: int = 11) -> None:
+        """Minibatch training; ``docs`` gives slot arrays by number."""
         r = np.random.default_rng(seed)
         seen = [np.zeros((SLOTS + 1, 2)) for _ in range(TABLES)]
-        for s, label in zip(docs, y, strict=True):
+        for i, label in enumerate(y):
+            s = docs[i]
             for k in range(TABLES):
                 seen[k][np.unique(s[k]), int(label)] += 1
         n = np.array([max((y == 0).sum(), 1), max((y == 1).sum(), 1)])
@@ -233,27 +275,46 @@ class Cnn:
                 self.shift[i] = goal - (n * cut + prior * common) / (n + prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, decision: float, most: dict[int, int], epochs: int, rate: float, folds: int = 3) -> Cnn | None:
-    """The network fitted to a bounded sample of labelled rows."""
-    sample = labelled_sample(docs, labels, "toxic", most, allowed)
-    y = np.array([s[1] for s in sample], float)
+def labelled(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[DataFrame, str]:
+    """doc_id, y and text of every labelled row, once per id; written, and the path."""
+    own = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).dropna().filter(allowed)
+    own, path = saved(own.groupBy("doc_id").agg(F.max("y").alias("y")).filter(F.col("y").isin([0, 1])), "labels", keep=False)
+    rows = docs.select("doc_id", "text").join(hint_small(own), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    out = saved(rows, "labelled", keep=False)
+    remove(docs.sparkSession, path)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, decision: float, epochs: int, rate: float, folds: int = 3) -> Cnn | None:
+    """The network fitted to all labelled rows."""
+    rows, path = labelled(docs, labels, allowed)
+    with tempfile.TemporaryDirectory(prefix="strideq-") as folder:
+        texts, slots, ids, y = Stored(Path(folder, "texts")), Stored(Path(folder, "slots")), [], []
+        for r in rows.toLocalIterator():
+            text = (r["text"] or "").encode("utf-8", "surrogatepass")
+            own = np.hstack([_slots(b)[2] for b, _, _ in parts([text])])
+            slots.add((own if own.shape[1] else np.full((TABLES, 1), SLOTS)).astype(np.int32).tobytes())
+            texts.add(text)
+            ids.append(r["doc_id"])
+            y.append(r["y"])
+        remove(docs.sparkSession, path)
+        order = np.array(sorted(range(len(ids)), key=ids.__getitem__), np.int64)
+        y = np.array(y, float)[order]
+        return _trained(texts.done(order), slots.done(order), y, decision, epochs, rate, folds)
+
+
+def _trained(texts: Stored, slots: Stored, y: np.ndarray, decision: float, epochs: int, rate: float, folds: int) -> Cnn | None:
     if not len(y) or not 0 < y.sum() < len(y):
         return None
-    counts = {k: (y == k).sum() for k in (0, 1)}
-    weight = np.array([s[2] / counts[s[1]] for s in sample])
-    slots = []
-    for text, _, _ in sample:
-        own = np.hstack([_slots(b)[2] for b, _, _ in parts([text])])
-        slots.append(own if own.shape[1] else np.full((TABLES, 1), SLOTS))
 
     def fitted(on: np.ndarray) -> Cnn:
         net, share = Cnn(), y[on].mean()
         balance = np.where(y[on] == 1, 0.5 / share, 0.5 / (1 - share))
-        net.fit([slots[i] for i in on], y[on], balance, epochs, rate)
+        net.fit(slots.part(on), y[on], balance, epochs, rate)
         return net
 
     # Every row's log odds by a network that hasn't seen it: thresholds are calibrated on
-    # the whole sample, so rare languages have what rows there are.
+    # all rows, so rare languages have what rows there are.
     net, every = fitted(np.arange(len(y))), np.arange(len(y))
     logit, guess = np.zeros(len(y)), np.zeros(len(y), int)
     of = np.zeros(len(y), int)
@@ -265,15 +326,17 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, decision: float,
         if not len(held):
             continue
         other = fitted(rest) if 0 < y[rest].sum() < len(rest) else net
-        logit[held], guess[held] = other.logits([sample[i][0] for i in held])
-    net.calibrate(logit, guess, y, weight, decision)
+        for lo in range(0, len(held), 256):
+            at = held[lo : lo + 256]
+            logit[at], guess[at] = other.logits([texts.raw(i) for i in at])
+    net.calibrate(logit, guess, y, np.ones(len(y)), decision)
     return net
 
 
-def score(docs: DataFrame, labels: DataFrame, allowed: Column, decision: float = 0.7, most: dict[int, int] | None = None, epochs: int = 6, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, allowed: Column, decision: float = 0.7, epochs: int = 6, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and toxicity score of every row."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    net = train(d, labels, allowed, decision, most or {0: 2500, 1: 1500}, epochs, rate)
+    net = train(d, labels, allowed, decision, epochs, rate)
     if net is None:
         return d.select("doc_id", F.lit(0.0).alias("score"))
     sent = d.sparkSession.sparkContext.broadcast(net)

@@ -108,6 +108,18 @@ def test_toxicity_of_long_texts_and_neighbours(monkeypatch):
     assert np.allclose([whole[t] for t in texts], net.logits(texts)[0], atol=1e-5)
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Counts, network and thresholds are of all labelled rows, however many."""
+    docs = spark.range(4700).selectExpr("id as doc_id", "concat('word', id % 7, if(id % 3 = 0, ' bad', ' good'), ' w', id) as text")
+    labels = spark.range(4700).selectExpr("id as doc_id", "cast(id % 3 = 0 as int) as toxic")
+    fitted, judged = [], []
+    monkeypatch.setattr(toxicity.Cnn, "fit", lambda net, d, y, *a, own=toxicity.Cnn.fit: fitted.append(len(d)) or own(net, d, y, *a))
+    monkeypatch.setattr(toxicity.Cnn, "calibrate", lambda net, z, g, y, *a, own=toxicity.Cnn.calibrate: judged.append((len(y), y.sum())) or own(net, z, g, y, *a))
+    out = toxicity.score(docs, labels, F.lit(True), epochs=1).toPandas().sort_values("doc_id")
+    assert max(fitted) == 4700 and judged == [(4700, 1567)]
+    assert ((out.score >= 0.7).to_numpy() == (out.doc_id % 3 == 0).to_numpy()).mean() > 0.99
+
+
 def test_classifiers_on_edges(spark, edges, nothing):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(9)] + [(None, 1, None), (3, 1, 1)], "doc_id bigint, quality int, toxic int")
     for df in (edges, nothing):
