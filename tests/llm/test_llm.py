@@ -120,6 +120,42 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert ((out.score >= 0.7).to_numpy() == (out.doc_id % 3 == 0).to_numpy()).mean() > 0.99
 
 
+def test_toxicity_trains_in_tasks(spark, monkeypatch):
+    """Beyond two shards the driver trains nothing; counts are of all rows, each fold is judged
+    by a network that hasn't seen it, and how rows came makes no difference."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 500 = 1, if(id % 1000 = 1, '', null), concat('word', id % 7, if(id % 3 = 0, ' bad', ' good'), ' w', id)) as text")
+    labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 3 = 0 as int) as toxic")
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 600, raising=False)
+    monkeypatch.setattr(toxicity.Cnn, "fit", lambda *a: pytest.fail("the driver trains alone"))
+    begun, judged, scores = [], [], []
+    monkeypatch.setattr(toxicity.Cnn, "begin", lambda net, seen, n, rate, own=toxicity.Cnn.begin: begun.append((n.tolist(), seen[0][:-1].sum())) or own(net, seen, n, rate))
+    monkeypatch.setattr(toxicity.Cnn, "calibrate", lambda net, z, g, y, *a, own=toxicity.Cnn.calibrate: judged.append((z, y)) or own(net, z, g, y, *a))
+    for df in (docs, docs.repartition(3)):
+        scores.append(toxicity.score(df, labels, F.lit(True), epochs=2).toPandas().set_index("doc_id").score.sort_index())
+    n, words = zip(*begun[:4], strict=True)
+    assert n[0] == [2000, 1000] and words[0] == 3 * 2994 and len(begun) == 8
+    assert np.array_equal(np.sum(n[1:], axis=0), [4000, 2000]) and sum(words[1:]) == 2 * words[0]
+    assert all(len(z) == 3000 and y.sum() == 1000 and area(z[y == 1], z[y == 0]) > 0.99 for z, y in judged)
+    assert np.allclose(*scores, atol=1e-6) and ((scores[0] >= 0.7) == (scores[0].index % 3 == 0)).mean() > 0.99
+
+
+def test_toxicity_finds_the_first_place_of_each_maximum():
+    """Gradients go to the first place of a region's maximum, whatever is beside the region."""
+    net, r = toxicity.Cnn(), np.random.default_rng(5)
+    texts = [r.integers(0, 9, (toxicity.TABLES, n)).astype(np.int32) for n in (1, 5, 40, 8, 2, 300)]
+    _, first, sizes, x = net.inputs(texts)
+    z, place = net.pooled(x, first, sizes, train=True)
+    z = z.reshape(len(texts), toxicity.KEPT, len(toxicity.WIDTHS), toxicity.FILTERS)
+    for w, a in enumerate(net.convolved(x)):
+        for i, (lo, n) in enumerate(zip(first, sizes, strict=True)):
+            for f in range(toxicity.FILTERS):
+                edges = lo + n * np.arange(toxicity.REGIONS + 1) // toxicity.REGIONS
+                tops = [b + int(a[f, b:e].argmax()) for b, e in zip(edges[:-1], edges[1:], strict=True) if e > b]
+                tops = sorted((t for t in tops if a[f, t] > 0), key=lambda t: -a[f, t])[: toxicity.KEPT]
+                on = z[i, :, w, f] > 0
+                assert place[w][i, on, f].tolist() == tops and np.allclose(z[i, on, w, f], a[f, tops])
+
+
 def test_classifiers_on_edges(spark, edges, nothing):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(9)] + [(None, 1, None), (3, 1, 1)], "doc_id bigint, quality int, toxic int")
     for df in (edges, nothing):
