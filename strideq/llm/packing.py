@@ -35,6 +35,9 @@ from pyspark.sql import types as T
 
 from strideq.llm.common import hint_small, saved, table, trimmed
 
+#: Characters from which on a text is encoded in pieces.
+_LONG = 1 << 20
+_BORDER = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 #: Words kept in each of two generations.
 _CACHED = 100_000
 #: A space with white space beside it: only there can a token span words' borders.
@@ -42,13 +45,10 @@ _ODD_SPACE = re.compile(r"^\s| \s|\s | $")
 _PLAIN = re.compile(r"[\n\x20-\x7E\xA1-ʯ]*")
 
 
-class WordCache:
-    """The byte-level encoder with the ids of whole words kept.
-
-    A single space between other characters always begins a token, so a text is the
-    sequence of its words, each with the space before it, and equal words have equal ids.
-    Full generations follow each other; a word that is met again moves to the young one.
-    """
+class Encoder:
+    """The byte-level encoder. A text is encoded at once: in text of many different words
+    that is less than half the work of looking up its words one by one. Long texts are cut
+    at spaces between letters, which always begin a token, so no list of ids is long."""
 
     def __init__(self, ranks_path: str, special: str, special_id: int):
         import public_tokenizers
@@ -57,11 +57,37 @@ class WordCache:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._special, self._special_id = special, np.array([special_id], "<u4").tobytes()
-        self._of: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
+        ids = self._bpe.encode_ordinary(text)
+        return np.fromiter(ids, "<u4", len(ids)).tobytes()
+
+    def _part(self, text: str) -> bytes:
+        out, at = [], 0
+        while len(text) - at > _LONG and (cut := _BORDER.search(text, at + _LONG)):
+            out.append(self._plain(text[at : cut.start()]))
+            at = cut.start()
+        return b"".join([*out, self._plain(text[at:] if at else text)])
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids; the special token's own text is that token."""
+        if self._special in text:
+            return self._special_id.join(self._part(t) for t in text.split(self._special))
+        return self._part(text)
+
+
+class WordCache(Encoder):
+    """The encoder with the ids of whole words kept, for text of few different words.
+
+    A single space between other characters always begins a token, so a text is the
+    sequence of its words, each with the space before it, and equal words have equal ids.
+    Full generations follow each other; a word that is met again moves to the young one.
+    """
+
+    def __init__(self, ranks_path: str, special: str, special_id: int):
+        super().__init__(ranks_path, special, special_id)
+        self._of: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
         ids = self._old.pop(word, None) or self._plain(word)
@@ -80,17 +106,11 @@ class WordCache:
         get, new = self._of.get, self._word
         return self._plain(first) + b"".join([get(w) or new(w) for w in [" " + w for w in rest]])
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids; the special token's own text is that token."""
-        if self._special in text:
-            return self._special_id.join(self._part(t) for t in text.split(self._special))
-        return self._part(text)
-
 
 @lru_cache(maxsize=2)
-def encoder(ranks_path: str, special: str, special_id: int) -> WordCache:
+def encoder(ranks_path: str, special: str, special_id: int) -> Encoder:
     """One encoder per task and file."""
-    return WordCache(ranks_path, special, special_id)
+    return Encoder(ranks_path, special, special_id)
 
 
 class CapacityTree:
@@ -190,7 +210,7 @@ def pack(docs: DataFrame, ranks: str, special: str = "<|endoftext|>", special_id
                     [batch.column("doc_id").slice(lo, 256).take(pa.array(of, pa.int32())), *[pa.array(x, pa.int64()) for x in (start, length)], pa.array(ids, pa.binary()), pa.array(total, pa.int64()), pa.array([task] * len(of), pa.int64()), pa.array(rank, pa.int64())],
                     ["doc_id", "start", "length", "ids", "doc_tokens", "task", "task_rank"],
                 )
-        encoder.cache_clear()  # its tables and words are some hundred megabytes
+        encoder.cache_clear()  # its tables need not stay in the worker
         del coder
         trimmed()
 

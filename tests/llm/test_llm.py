@@ -282,6 +282,23 @@ def test_packing(spark, docs, edges, nothing):
     assert packing.packed(edges).select("doc_id").filter("doc_id is null").count() == 2
 
 
+def test_packing_encodes_a_text_at_once(monkeypatch):
+    """One call per text however many words are new, and pieces of a long text give its ids."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coder, asked = packing.encoder(path, "<|endoftext|>", 50256), []
+    texts = [" ".join(f"w{i}x{k}" for k in range(300)) for i in range(20)]
+    monkeypatch.setattr(coder, "_plain", lambda t, own=coder._plain: asked.append(t) or own(t))
+    assert all(len(coder.encode(t)) > 1200 for t in texts) and asked == texts
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(8)
+    odd = ["don't", "a", "Ünï", "\n\n", "  ", "it's", "9", "...", "\u3000", "z\u0301", "\U0001f600", "<|endoftext|>", "the", "cat"]
+    monkeypatch.setattr(packing, "_LONG", 40)
+    for _ in range(200):
+        text = r.choice([" ", ""]).join(r.choice(odd) + r.choice([" ", "", " of", " the cat"]) for _ in range(60))
+        assert coder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    packing.encoder.cache_clear()
+
+
 # 5 ---------------------------------------------------------------------------
 def test_bpe_round_trip(spark, docs, edges, nothing):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
