@@ -3,7 +3,8 @@
 Two strategies. As-of: both sides in one frame, partitioned by stretches of the axis (and
 by the variables' values), sorted once, and a running last value; for links without
 conditions, with equalities of single values, or with one inequality of single values
-beside these. Candidates: a bucketed equi-join with the
+beside these. Where axes are mixed, an event of the group may come again: then as many
+running values as the group has events. Candidates: a bucketed equi-join with the
 exact window and conditions, and the nearest kept per group; for everything else, since a
 condition must hold before the nearest is chosen.
 """
@@ -107,6 +108,38 @@ def _as_of_other(left: DataFrame, right: DataFrame, keys: list[Use], use: Use, w
     return out.select("l", F.when(near, F.col("pick.r")).alias("r"))
 
 
+def _as_of_new(left: DataFrame, right: DataFrame, keys: list[Use], window: int, forward: bool, members: int) -> DataFrame:
+    """The same, for the nearest right row that isn't one of the group's ``members`` events.
+    The anchor is never in reach of itself, so one of the nearest ``members`` rows is new.
+    Each of them is a running value of one sorted frame, and pairs in the window, which are
+    as many as the window's density squared, are never made."""
+    width = STRETCH * max(window, 1)
+    reach = F.col("x") - window if forward else F.col("x") + window
+    names = [f"k{i}" for i in range(len(keys))]
+    kinds = [right.schema["r"].dataType[u.column].dataType for u in keys]
+    a = left.select(
+        "x", "q", F.lit(0).alias("side"), *[F.col(f"l.`{BOUND}{u.var}`").cast(k).alias(n) for u, n, k in zip(keys, names, kinds, strict=True)], bucket(F.col("x"), width).alias("b"), "l", F.lit(None).cast(right.schema["r"].dataType).alias("r")
+    )
+    b = right.select(
+        "x", "q", F.lit(1).alias("side"), *[F.col(f"r.`{u.column}`").alias(n) for u, n in zip(keys, names, strict=True)], F.explode(F.array_distinct(F.array(bucket(F.col("x"), width), bucket(reach, width)))).alias("b"), F.lit(None).cast(left.schema["l"].dataType).alias("l"), "r"
+    )
+    for n in names:
+        b = b.filter(F.col(n).isNotNull())
+    order = [F.col("x").desc(), F.col("side").asc(), F.col("q").desc()] if forward else [F.col("x").asc(), F.col("side").asc(), F.col("q").asc()]
+    own = Window.partitionBy("b", *names).orderBy(*order)
+    before, so_far = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, 0)
+    # On a right row n0 is the row itself, n1 the right row before it, and so on.
+    seen = a.unionByName(b).withColumn("n0", F.when(F.col("side") == 1, F.struct("r", "x")))
+    for i in range(1, members):
+        seen = seen.withColumn(f"n{i}", F.when(F.col("side") == 1, F.last(f"n{i - 1}", ignorenulls=True).over(before)))
+    seen = seen.withColumns({f"n{i}": F.last(f"n{i}", ignorenulls=True).over(so_far) for i in range(members)})
+    held = positions(F.col("l.m"))
+    out = seen.filter("side = 0").withColumn("pick", F.coalesce(*[F.when(~F.array_contains(held, F.col(f"n{i}.r.p")), F.col(f"n{i}")) for i in range(members)]))
+    distance = F.col("pick.x") - F.col("x") if forward else F.col("x") - F.col("pick.x")
+    near = F.coalesce((distance > 0) & (distance <= window), F.lit(False))
+    return out.select("l", F.when(near, F.col("pick.r")).alias("r"))
+
+
 def _same(keys: list[Use]) -> Column:
     """The equalities of single values, plain, so that a join takes them as keys."""
     found = F.lit(True)
@@ -136,16 +169,17 @@ def _in_reach(left: DataFrame, right: DataFrame, keys: list[Use], window: int, f
     return a.join(b, (F.col("b") == F.col("rb")) & _same(keys)).withColumn("d", distance).filter((F.col("d") > 0) & (F.col("d") <= window))
 
 
-def follow(groups: Groups, rows: Rows, axis: str, window: int, forward: bool) -> Groups:
-    """Each group with its nearest eligible event; groups without one go."""
+def follow(groups: Groups, rows: Rows, axis: str, window: int, forward: bool, members: int) -> Groups:
+    """Each group of ``members`` events with its nearest eligible event; groups without one
+    go."""
     keys, others = conditions(groups, rows)
     left, right = _sides(groups, rows, axis, forward)
     left = left.filter("x is not null")
     distinct = bool(groups.axes - {axis})
-    if not others and not distinct:
+    if not others:
         for u in keys:
             left = left.filter(F.col(f"l.`{BOUND}{u.var}`").isNotNull())
-        met = _as_of(left, right, keys, window, forward).filter("r is not null")
+        met = (_as_of_new(left, right, keys, window, forward, members) if distinct else _as_of(left, right, keys, window, forward)).filter("r is not null")
     elif not distinct and len(others) == 1 and others[0][0] is differ and not others[0][1] and not others[0][2].is_list:
         for u in keys:
             left = left.filter(F.col(f"l.`{BOUND}{u.var}`").isNotNull())

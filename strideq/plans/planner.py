@@ -132,7 +132,7 @@ class Planner:
         if not isinstance(e.left, Link) or e.left.negative:
             left = left.of(left.df.withColumn("o", F.struct(F.element_at("m", 1)[axis].alias("a"), F.element_at("m", 1)["p"].alias("p"))))
         leg = len(slots)
-        out = links.follow(left, self.rows(e.right, leg), axis, e.window.size, e.forward)
+        out = links.follow(left, self.rows(e.right, leg), axis, e.window.size, e.forward, leg)
         return out, [*slots, leg] if e.forward else [leg, *slots]
 
     def side(self, e) -> tuple[Groups, tuple[Use, ...]]:

@@ -123,3 +123,32 @@ def test_group_links(case):
     sub = "[field(kind,X) ~> field(kind,Y) |> within(4)]"
     assert ids(e, f"{sub} ~>(6) {sub}") == sorted(want)
     assert ids(e, f"{sub} !~>(6) {sub}") == sorted(gone)
+
+
+@pytest.mark.parametrize("forward", [True, False])
+@pytest.mark.parametrize("last", ["field(kind,X)", "field(id,*)", "field(user,$u)"])
+def test_chain_of_mixed_axes(case, forward, last):
+    """An event that is in the group already isn't taken again, and the next nearest is."""
+    rows, e = case
+    xs, ys = [r for r in rows if r["kind"] == "X"], [r for r in rows if r["kind"] == "Y"]
+    op = "FOLLOWED_BY" if forward else "PRECEDED_BY"
+    steps = [(ys, "p", 4), ([r for r in rows if last != "field(kind,X)" or r["kind"] == "X"], "t", 40_000_000), (rows, "p", 6)]
+    want = []
+    for x in xs:
+        held = [x]
+        for k, (right, axis, w) in enumerate(steps):
+            ok = lambda a, b: b not in held and (k != 1 or last != "field(user,$u)" or x["user"] is not None and b["user"] == x["user"])  # noqa: B023, E731
+            n = near(rows, [held[-1]], right, axis, w, forward, ok)
+            if not n:
+                break
+            held.append(n[held[-1]["p"]])
+        else:
+            want.append([r["id"] for r in (held if forward else held[::-1])])
+    assert want
+    q = f"SELECT field(kind,X) AND field(user,$u) {op} field(kind,Y) INWINDOW 4 {op} {last} DURING 40 seconds {op} field(id,*) INWINDOW 6"
+    assert ids(e, q) == sorted(want)
+
+
+def test_chain_of_mixed_axes_makes_no_pairs(case):
+    plan = case[1].plan("SELECT field(kind,X) FOLLOWED_BY field(kind,Y) INWINDOW 4 FOLLOWED_BY field(kind,Z) DURING 1 minute")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "Join" not in plan
