@@ -2,12 +2,15 @@
 
 A partial match grows leg by leg. The join is on stretches of the axis as wide as the
 window; a partial match that spans [lo, hi] can only take an event in [hi - w, lo + w].
+
+Matches may be as many as the square of the events in a window, so they are not exchanged:
+of those with the same events one is told by looking at it, and goes where it was made.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
+from itertools import permutations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,16 +31,36 @@ def _grown(part: DataFrame, other: DataFrame, window: int, keys: list[tuple[str,
     return a.join(b.withColumnRenamed("b", "other_b"), same).drop("b", "other_b").filter(span <= window)
 
 
+#: Places of which all orders are tried; more of them take an exchange of the matches.
+MOST_PLACES = 4
+
+
+def _first_of_its_set(at: list[int]) -> Column:
+    """Of the matches that have the same events, true for the one whose positions come first
+    in the order of the places, which belong to legs ``at``. Events could change places if each
+    matches the other's leg (columns ``also{place}_{leg}``); events of one leg are in order."""
+    found = F.lit(True)
+    for order in permutations(range(len(at))):
+        moved = [i for i, k in enumerate(order) if at[i] != at[k]]
+        if moved:
+            i = next(i for i, k in enumerate(order) if i != k)
+            could = reduce(lambda a, b: a & b, [F.col(f"also{order[i]}_{at[i]}") for i in moved])
+            found = found & ~(could & (F.col(f"p{order[i]}") < F.col(f"p{i}")))
+    return found
+
+
 def together(legs: list[tuple[Rows, int]], axis: str, window: int) -> Groups:
     """One event of each leg (so many copies of each), all distinct and within the window;
     matches of the same events count once."""
     places: list[tuple[Rows, bool]] = [(rows, copy > 0) for rows, n in legs for copy in range(n)]
+    at = [k for k, (_, n) in enumerate(legs) for _ in range(n)]
+    known = len(places) <= MOST_PLACES and all(rows.also for rows, _ in legs)
     uses: list[list[Use]] = []
     part: DataFrame | None = None
     for i, (rows, again) in enumerate(places):
         own = rows.df.filter(F.col(axis).isNotNull())
         cols = {u.column for u in (*rows.equal, *rows.unequal)}
-        one = own.select(F.col(axis).alias("x_lo"), F.col(axis).alias("x_hi"), F.col("p").alias(f"p{i}"), F.col("member").alias(f"m{i}"), *[F.col(c).alias(f"c{i}_{c}") for c in cols])
+        one = own.select(F.col(axis).alias("x_lo"), F.col(axis).alias("x_hi"), F.col("p").alias(f"p{i}"), F.col("member").alias(f"m{i}"), *[F.col(c).alias(f"c{i}_{c}") for c in cols], *[F.col(c).alias(f"also{i}_{k}") for k, c in enumerate(rows.also if known else ())])
         if part is None:
             part = one.withColumnsRenamed({"x_lo": "lo", "x_hi": "hi"})
         else:
@@ -46,7 +69,8 @@ def together(legs: list[tuple[Rows, int]], axis: str, window: int) -> Groups:
             earlier = {u.var: u.column for us in reversed(uses) for u in us if not u.is_list}
             keys = [(earlier[u.var], f"c{i}_{u.column}") for u in rows.equal if not u.is_list and u.var in earlier]
             met = _grown(part, one, window, keys)
-            met = met.filter(F.col(f"p{i}") > F.col(f"p{i - 1}")) if again else met.filter(reduce(lambda a, b: a & b, [F.col(f"p{i}") != F.col(f"p{k}") for k in range(i)]))
+            met = met.filter(reduce(lambda a, b: a & b, [F.col(f"p{i}") != F.col(f"p{k}") for k in range(i)]))
+            met = met.filter(F.col(f"p{i}") > F.col(f"p{i - 1}")) if again else met
             part = met.withColumns({"lo": F.least("lo", "x_lo"), "hi": F.greatest("hi", "x_hi")}).drop("x_lo", "x_hi")
         uses.append([Use(u.var, f"c{i}_{u.column}", u.is_list) for u in rows.equal])
     # One value for each variable, read before members are sorted.
@@ -72,10 +96,19 @@ def together(legs: list[tuple[Rows, int]], axis: str, window: int) -> Groups:
             if u.var not in values:
                 raise QueryError(f"!${u.var} refers to a variable that no other event binds")
             part = part.filter(differ(F.col(f"c{i}_{u.column}"), values[u.var], u.is_list, bound[u.var]))
-    every = F.array(*[F.struct(F.col(f"m{i}")[axis].alias("a"), F.col(f"m{i}.p").alias("p"), F.col(f"m{i}").alias("x")) for i in range(len(places))])
-    part = part.select(F.sort_array(every).alias("s"), *[c.alias(BOUND + v) for v, c in values.items()])
-    out = part.select(F.transform("s", lambda x: x["x"]).alias("m"), F.transform("s", lambda x: F.struct(x["a"].alias("a"), x["p"].alias("p"))).alias("o"), *[BOUND + v for v in values])
-    if len(places) > 1 and (len(legs) > 1 or values):
+    if known:
+        part = part.filter(_first_of_its_set(at))
+    every = [F.struct(F.col(f"m{i}")[axis].alias("a"), F.col(f"m{i}.p").alias("p"), F.col(f"m{i}").alias("x")) for i in range(len(places))]
+    columns = [c.alias(BOUND + v) for v, c in values.items()]
+    if len(places) == 2:  # the most frequent case, without a sort for each match
+        a, b = every
+        part = part.withColumn("turned_", (b["a"] < a["a"]) | ((b["a"] == a["a"]) & (b["p"] < a["p"])))
+        pair = [F.when(F.col("turned_"), b).otherwise(a), F.when(F.col("turned_"), a).otherwise(b)]
+        out = part.select(F.array(*[x["x"] for x in pair]).alias("m"), F.array(*[F.struct(x["a"].alias("a"), x["p"].alias("p")) for x in pair]).alias("o"), *columns)
+    else:
+        part = part.select(F.sort_array(F.array(*every)).alias("s"), *columns)
+        out = part.select(F.transform("s", lambda x: x["x"]).alias("m"), F.transform("s", lambda x: F.struct(x["a"].alias("a"), x["p"].alias("p"))).alias("o"), *[BOUND + v for v in values])
+    if len(places) > 1 and (len(legs) > 1 or values) and not known:
         out = distinct_sets(out)
     return Groups(out, bound, frozenset({axis}))
 
@@ -91,7 +124,9 @@ def ranges(legs: list[tuple[Rows, int, int]], axis: str, window: int) -> Groups:
     if len(found) == 1:
         return found[0]
     df = reduce(lambda a, b: a.unionByName(b), [g.df for g in found])
-    return found[0].of(distinct_sets(df) if len(legs) > 1 else df)
+    # Matches of different sizes are never of the same events.
+    totals = [sum(sizes) for sizes in product(*[range(lo, hi + 1) for _, lo, hi in legs])]
+    return found[0].of(distinct_sets(df) if len(set(totals)) < len(totals) else df)
 
 
 def _bounds(groups: Groups, axis: str) -> DataFrame:

@@ -27,11 +27,13 @@ class Use:
 
 @dataclass(frozen=True)
 class Rows:
-    """The matches of one leg."""
+    """The matches of one leg. ``also`` names, for each leg of a comma row, the column that
+    says whether the event could stand there too; empty if that isn't known."""
 
     df: DataFrame
     equal: tuple[Use, ...] = ()
     unequal: tuple[Use, ...] = ()
+    also: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

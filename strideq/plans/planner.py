@@ -77,8 +77,9 @@ class Planner:
         return df, bool(q.order)
 
     # -- legs -----------------------------------------------------------------
-    def rows(self, e, leg: int = 0) -> Rows:
-        """The events that match a condition and keep its own-event variables."""
+    def rows(self, e, leg: int = 0, legs: tuple = ()) -> Rows:
+        """The events that match a condition and keep its own-event variables; for each of
+        ``legs``, other conditions with the same variables, whether the event matches it."""
         c, p = self.corpus, self.predicates
         df = c.df.filter(p.column(e))
         uses, value = p.variables(e), {}
@@ -108,8 +109,8 @@ class Planner:
             F.lit(leg).alias("leg"),
             *[F.col(f"`{f}`").alias(A.kept(f)) for f in self.fields],
         )
-        df = df.select(F.col("position").alias("p"), F.col("t_us").alias("t"), member.alias("member"), *[v.alias("u_" + n) for n, v in value.items()])
-        return Rows(df, tuple(equal), tuple(unequal))
+        df = df.select(F.col("position").alias("p"), F.col("t_us").alias("t"), member.alias("member"), *[v.alias("u_" + n) for n, v in value.items()], *[(F.lit(True) if k == leg else p.column(x)).alias(f"also_{k}") for k, x in enumerate(legs)])
+        return Rows(df, tuple(equal), tuple(unequal), tuple(f"also_{k}" for k in range(len(legs))))
 
     def axis(self, window: Span) -> str:
         """The axis column of a window; time must be there to be measured."""
@@ -185,7 +186,8 @@ class Planner:
                 window = None
             else:
                 span = window or Span("position", DEFAULT_WINDOW)
-                legs = [(self.event_set(i.body, k), i.least, i.most) for k, i in enumerate(items)]
+                alike = self.alike([i.body for i in items])
+                legs = [(self.event_set(i.body, k, alike), i.least, i.most) for k, i in enumerate(items)]
                 groups, window = cooccur.ranges(legs, self.axis(span), span.size), None
         if window:  # the whole group's span
             axis = self.axis(window)
@@ -205,10 +207,21 @@ class Planner:
             raise QueryError(f"!${rows.unequal[0].var} refers to a variable that no earlier event binds")
         return singles(rows)
 
-    def event_set(self, e, leg: int) -> Rows:
+    def alike(self, bodies: list) -> tuple:
+        """The conditions of a comma row, if whether an event could stand in another's place is
+        known from the event alone: all are conditions, with the same variables of single
+        values on the same fields. Else none."""
+        if any(isinstance(e, Link) for e in bodies):
+            return ()
+        uses = [self.predicates.variables(e) for e in bodies]
+        first = uses[0]
+        simple = len({v for v, _, _ in first}) == len(first) and not any(neg or n == MENTIONED or self.corpus.is_list(n) for _, n, neg in first)
+        return tuple(bodies) if simple and all(sorted(u) == sorted(first) for u in uses) else ()
+
+    def event_set(self, e, leg: int, legs: tuple = ()) -> Rows:
         """A comma item as rows; a NOT_ link is the set of its left events."""
         if not isinstance(e, Link):
-            return self.rows(e, leg)
+            return self.rows(e, leg, legs)
         g = self.chain(e)[0]
         df = g.df.select(F.element_at("m", 1).alias("member"), *[F.col(BOUND + v).alias("u_" + v) for v in g.bound])
         df = df.select(F.col("member.p").alias("p"), F.col("member.t").alias("t"), F.col("member").withField("leg", F.lit(leg)).alias("member"), *["u_" + v for v in g.bound])

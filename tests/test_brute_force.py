@@ -152,3 +152,31 @@ def test_chain_of_mixed_axes(case, forward, last):
 def test_chain_of_mixed_axes_makes_no_pairs(case):
     plan = case[1].plan("SELECT field(kind,X) FOLLOWED_BY field(kind,Y) INWINDOW 4 FOLLOWED_BY field(kind,Z) DURING 1 minute")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("axis,w,text", SPANS[1:3])
+@pytest.mark.parametrize("legs,most", [(["not Z", "not X"], 1), (["not Z", "any", "not X"], 1), (["Y", "any"], 2)])
+@pytest.mark.parametrize("key", [None, "user"])
+def test_cooccurrence_of_overlapping_legs(case, axis, w, text, legs, most, key):
+    """Events that could change places make one group."""
+    rows, e = case
+    fits = {"not Z": lambda r: r["kind"] != "Z", "not X": lambda r: r["kind"] != "X", "Y": lambda r: r["kind"] == "Y", "any": lambda r: True}
+    own = [[r for r in rows if fits[x](r) and r[axis] is not None] for x in legs]
+    want = set()
+    for sizes in itertools.product(range(1, most + 1), repeat=len(legs)):
+        for c in itertools.product(*[itertools.combinations(x, n) for x, n in zip(own, sizes, strict=True)]):
+            c = [x for part in c for x in part]
+            at = [x[axis] for x in c]
+            if max(at) - min(at) <= w and len({x["p"] for x in c}) == len(c) and (not key or c[0]["user"] is not None and len({x["user"] for x in c}) == 1):
+                want.add(tuple(sorted(x["p"] for x in c)))
+    said = {"not Z": "NOT field(kind,Z)", "not X": "NOT field(kind,X)", "Y": "field(kind,Y)", "any": "field(id,*)"}
+    also = " AND field(user,$u)" if key else ""
+    q = ", ".join(f"({said[x]}{also})" + (f"{{1,{most}}}" if most > 1 else "") for x in legs)
+    assert want
+    assert ids(e, f"SELECT {q} {text}") == sorted([rows[p]["id"] for p in sorted(s, key=lambda p: (rows[p][axis], p))] for s in want)
+
+
+def test_cooccurrence_exchanges_no_matches(case):
+    for q in ("SELECT field(kind,X), field(kind,Y) DURING 1 minute", "SELECT field(kind,X) AND field(user,$u), field(kind,Y) AND field(user,$u) DURING 1 minute", "SELECT field(kind,X){1,2}, field(kind,Y) INWINDOW 4"):
+        plan = case[1].plan(q)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" in plan and "Aggregate" not in plan, q
