@@ -6,6 +6,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,15 +64,25 @@ def stem_words(language: str) -> Callable[[str], str]:
     return found
 
 
+def _stemmed(words: pa.Array, stem: Callable[[str], str]) -> pa.Array:
+    """Stems of an Arrow array of token lists. Only a batch's distinct words become Python
+    strings; tokens and stems stay Arrow buffers."""
+    lengths = pc.fill_null(pc.list_value_length(words), 0)
+    ends = pc.cumulative_sum(lengths).cast(pa.int32())
+    flat = pc.dictionary_encode(words.flatten())
+    own = pa.array([None if w is None else stem(w) for w in flat.dictionary.to_pylist()], flat.dictionary.type)
+    return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), own.take(flat.indices)).cast(words.type)
+
+
 def stems(words: Column, language: str = "english") -> Column:
     """Stems of a token array, in Arrow batches."""
     stem = stem_words(language)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.map(lambda ws: [stem(w) for w in ws] if ws is not None else [])
+            yield _stemmed(batch, stem)
 
-    return F.pandas_udf(run, "array<string>")(words)
+    return F.arrow_udf(run, "array<string>")(words)
 
 
 def is_question(text: Column) -> Column:

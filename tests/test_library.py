@@ -1,5 +1,8 @@
 """Functions, sources, validation, explanation and streaming."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +156,30 @@ def test_streaming(spark, tmp_path):
     linked = streaming.link(source().filter("kind = 'X'"), source().filter("kind = 'Y'"), 10, keys=("user",))
     got = ran(linked, "l")
     assert sorted((r["left_id"], r["right_id"]) for r in streaming.nearest(got).collect()) == [(1, 2)]
+
+
+def test_stems_of_a_batch_as_of_each_word():
+    words = pa.array([["x"], ["running", "runs", "flies"], None, [], ["running", None, "kindness"]], pa.list_(pa.string())).slice(1)
+    asked = []
+    got = T._stemmed(words, lambda w: asked.append(w) or english(w))
+    assert got.to_pylist() == [["run", "run", "fli"], [], [], ["run", None, "kind"]] and got.type == words.type
+    assert sorted(asked) == ["flies", "kindness", "running", "runs"]  # each distinct word once
+    assert T._stemmed(words.slice(0, 0), english).to_pylist() == []
+
+
+def test_texts_are_indexed_in_batches_bounded_in_bytes(spark, monkeypatch):
+    """Stemming gets a few megabytes of tokens at a time, however many rows there are."""
+    from strideq.sources.corpus import numbered
+    from strideq.sources.storage import BATCH
+
+    def sizes(words, language):
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for b in batches:
+                yield pa.array([[str(b.nbytes)]] * len(b), pa.list_(pa.string()))
+
+        return F.arrow_udf(run, "array<string>")(words)
+
+    monkeypatch.setattr(T, "stems", sizes)
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('word ', 1000) AS text")
+    rows = numbered(ingest.indexed(docs)).select("text_stems").collect()
+    assert len(rows) == 4000 and max(int(r[0][0]) for r in rows) <= 1.5 * BATCH
