@@ -47,7 +47,7 @@ def _documents(spark: SparkSession, sf: str) -> Engine:
     spec = CorpusSpec(id="doc_id", time=None, user="source", text_match="token", dictionaries=DICTIONARIES)
     entities = F.array(F.when(F.contains("text", F.lit("Apache")), "ORG"), F.when(F.col("text").rlike(r"\d{4}-\d{2}-\d{2}"), "DATE"))
     df = df.withColumn("entities", F.coalesce(F.filter(entities, lambda x: x.isNotNull()), F.array().cast("array<string>")))
-    return Engine(Corpus(numbered(ingest.indexed(ingest.stamp(df, "entities")), [F.col("doc_id")]), spec))
+    return Engine(Corpus(numbered(ingest.stamp(df, "entities"), [F.col("doc_id")], then=ingest.indexed), spec))
 
 
 def _pages(spark: SparkSession, sf: str) -> Engine:

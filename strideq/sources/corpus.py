@@ -57,9 +57,10 @@ def placed(df: DataFrame, source: int = 0) -> DataFrame:
         return df.withColumn(PLACE, F.struct(F.lit(source).alias("source"), F.lit("").alias("file"), F.lit(0).cast("long").alias("at"), nth.alias("nth")))
 
 
-def numbered(df: DataFrame, order: list[Column] | None = None, name: str = "position") -> DataFrame:
+def numbered(df: DataFrame, order: list[Column] | None = None, name: str = "position", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``df`` with a dense position from 0, by ``order`` (or as the files are, see
-    ``placed``).
+    ``placed``). ``then`` adds columns row by row when rows are in order: they are neither
+    sorted nor made for the sample of the order's ranges.
 
     Rows are range-partitioned and sorted, and written with their partition and place in
     it; a position is the place plus the rows of the partitions before, of which there is
@@ -69,7 +70,8 @@ def numbered(df: DataFrame, order: list[Column] | None = None, name: str = "posi
         df = placed(df)
         order = [F.col(PLACE)]
     ordered = df.orderBy(*order).drop(PLACE)
-    kept = written(ordered.withColumn("part_", F.spark_partition_id()).withColumn("nth_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "placed")
+    ordered = ordered.withColumn("part_", F.spark_partition_id()).withColumn("nth_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    kept = written(then(ordered) if then else ordered, "placed")
     counts = {r["part_"]: r["n"] for r in kept.groupBy("part_").agg(F.count(F.lit(1)).alias("n")).collect()}
     base, before = [], 0
     for part in range(max(counts, default=-1) + 1):

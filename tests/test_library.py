@@ -183,3 +183,22 @@ def test_texts_are_indexed_in_batches_bounded_in_bytes(spark, monkeypatch):
     docs = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('word ', 1000) AS text")
     rows = numbered(ingest.indexed(docs)).select("text_stems").collect()
     assert len(rows) == 4000 and max(int(r[0][0]) for r in rows) <= 1.5 * BATCH
+
+
+def test_what_comes_after_numbering_is_not_sorted(spark):
+    from strideq.sources.corpus import numbered
+
+    df = spark.createDataFrame([(i, f"runs {i}") for i in (3, 1, 2, 0)], "id int, text string").repartition(3)
+    counted = spark.sparkContext.accumulator(0)
+
+    def then(df):
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for b in batches:
+                counted.add(len(b))
+                yield b
+
+        return ingest.indexed(df.withColumn("text", F.arrow_udf(run, "string")("text")))
+
+    got = numbered(df, [F.col("id")], then=then).orderBy("position").collect()
+    assert [(r["position"], r["id"], r["text_stems"]) for r in got] == [(i, i, ["run", str(i)]) for i in range(4)]
+    assert counted.value == 4  # not again for the sample of the ranges
